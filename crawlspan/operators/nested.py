@@ -46,10 +46,11 @@ def triples(text: str, root: str = "$", scalars: bool = True) -> list[tuple] | N
     outside any object has the root as node. A repeated key gives its values again.
     """
     out: list[tuple] = []
-    # A frame: is it an object, path, table, node and table of the object it is or is in, key so far (scalars), position.
-    stack: list[list] = []
+    # Steps of the current path and of its table; a frame is an open object or array: is it an object, its position so far,
+    # and what it is or is in: node, table, and number of steps. Paths are joined only where a row needs them.
+    steps, tables, stack = [root], ["$"], []
     pos, wanted = 0, "value"
-    path, table, owner, owned, key, ordinal = root, "$", "", "$", "", None
+    owner, owned, depth, ordinal = "", "$", 1, None
     match = TOKEN.match
     while True:
         if wanted == "after" and not stack:
@@ -62,40 +63,47 @@ def triples(text: str, root: str = "$", scalars: bool = True) -> list[tuple] | N
         if wanted in ("value", "value or ]"):
             if which == 1:
                 if token == "{":
+                    path, table = "|".join(steps), "|".join(tables)
                     out.append((path, owner, table, None, None, "object", None))
-                    stack.append([True, path, table, path, table, "", 0])
+                    owner, owned, depth = path, table, len(steps)
+                    stack.append((True, [0], owner, owned, depth))
                     wanted = "key or }"
                     continue
                 if token == "[":
-                    stack.append([False, path, table + "|*", owner, owned, key, 0])
-                    path, table, key, ordinal = f"{path}|0", table + "|*", f"{key}|0" if key else "0", 0
-                    wanted = "value or ]"
+                    stack.append((False, [0], owner, owned, depth))
+                    steps.append("0")
+                    tables.append("*")
+                    ordinal, wanted = 0, "value or ]"
                     continue
                 if token != "]" or wanted == "value":
                     return None
                 stack.pop()
+                steps.pop()
+                tables.pop()
             elif scalars:
-                out.append((owner or root, None, owned, key, ordinal, ("", "", "string", "number", "word")[which], _string(token) if which == 2 else token))
+                kind = ("", "", "string", "number", "word")[which]
+                out.append((owner or root, None, owned, "|".join(steps[depth:]), ordinal, kind, _string(token) if which == 2 else token))
             wanted = "after"
         elif wanted == "after":
             if which != 1:
                 return None
-            frame = stack[-1]
+            is_object, at, owner, owned, depth = stack[-1]
             if token == ",":
-                if frame[0]:
+                if is_object:
+                    steps.pop()
+                    tables.pop()
                     wanted = "key"
                 else:
-                    frame[6] += 1
-                    at = frame[6]
-                    path, table, owner, owned, ordinal = f"{frame[1]}|{at}", frame[2], frame[3], frame[4], at
-                    key = f"{frame[5]}|{at}" if frame[5] else str(at)
-                    wanted = "value"
-            elif token == ("}" if frame[0] else "]"):
+                    at[0] += 1
+                    ordinal, wanted = at[0], "value"
+                    steps[-1] = str(ordinal)
+            elif token == ("}" if is_object else "]"):
                 stack.pop()
+                steps.pop()
+                tables.pop()
             else:
                 return None
         else:  # a key, or the end of an empty object
-            frame = stack[-1]
             if which == 1 and token == "}" and wanted == "key or }":
                 stack.pop()
                 wanted = "after"
@@ -106,9 +114,9 @@ def triples(text: str, root: str = "$", scalars: bool = True) -> list[tuple] | N
             m = match(text, pos)
             if m is None or m.group(1) != ":":
                 return None
-            pos = m.end()
-            path, table, owner, owned, ordinal = f"{frame[1]}|{key}", f"{frame[2]}|{key}", frame[1], frame[2], None
-            wanted = "value"
+            pos, ordinal, wanted = m.end(), None, "value"
+            steps.append(key)
+            tables.append(key)
 
 
 def _parse(scalars: bool, names: list[str]):
