@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspan.llm import duplicates, percentiles, tokens
+from crawlspan.llm import duplicates, leakage, percentiles, residue, tokens
 from crawlspan.sources.tables import read
 
 TIMINGS = ["load_time_ms", "first_byte_time_ms"]
@@ -36,6 +36,19 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.collapse(read(spark, d, "pages", *PAIR.values()), **PAIR)
 
 
+TITLE = {"id": "page_id", "title": "title", "url": "url", "words": "word_count", "status": "http_status"}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose title is residue, filler, an error or block message, or a script notice."""
+    return residue.residue(read(spark, d, "pages", *TITLE.values()), **TITLE).select("page_id")
+
+
+def p6_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages each detector excludes."""
+    return residue.residue(read(spark, d, "pages", *TITLE.values()), **TITLE).groupBy("reason").agg(F.count("*").alias("pages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     import public_tokenizers
@@ -43,7 +56,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(read(spark, d, "documents", "doc_id", "text"), id="doc_id", text="text", vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p8_ids)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "benchmark"), id="doc_id", text="text", item="item_id", item_text="text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain test items, with the items."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The word spans to remove from each document."""
+    return leakage.merged_spans(_leaks(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans)}
 
 _RANKED = """
 WITH v AS (
