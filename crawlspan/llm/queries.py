@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspan.llm import duplicates, leakage, percentiles, residue, tokens
+from crawlspan.llm import duplicates, leakage, percentiles, pii, residue, tokens
 from crawlspan.sources.tables import read
 
 TIMINGS = ["load_time_ms", "first_byte_time_ms"]
@@ -70,7 +70,20 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.merged_spans(_leaks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans)}
+TEXT = {"id": "doc_id", "text": "text"}
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information in the documents, as it is written."""
+    return pii.entities(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "name_list"), **TEXT)
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with typed placeholders, and with keyed surrogates, in the place of personal information."""
+    return pii.redacted(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "name_list"), **TEXT)
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans, p10_found, p10_texts)}
 
 _RANKED = """
 WITH v AS (
