@@ -41,7 +41,8 @@ def canonical(text: Column) -> Column:
     letters nor digits.
     """
     plain = F.coalesce(decoded(F.when(text.rlike(DECODE), text)), text)
-    return F.lower(F.upper(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")))
+    # With the capital sharp s written out, which also keeps the optimizer from taking lower(upper(x)) for lower(x).
+    return F.lower(F.replace(F.upper(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")), F.lit("ẞ"), F.lit("SS")))
 
 
 def keyed(records: DataFrame, *, group: str, first: str, second: str) -> DataFrame:

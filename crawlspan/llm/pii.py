@@ -195,7 +195,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int]]:
         elif said.search(text):
             for m in shape.finditer(text):
                 # The explaining word belongs to the same sentence, with no other number in between; or it follows at once.
-                before = re.split(r"[\n\x00]|[.!?]\s(?=[A-Z])|\d{4,}", text[max(0, m.start() - NEAR) : m.start()])[-1]
+                before = re.split(r"[\n\x00]|[.!?]\s(?=[A-Z])|\d{4,}|\d[\d\s\-]{4,}\d", text[max(0, m.start() - NEAR) : m.start()])[-1]
                 after = re.match(r"\s+(?:is|was|=)\s[^\d\n.!?]{0,30}", text[m.end() : m.end() + 40])
                 if said.search(before) or (after and said.search(after.group())):
                     yield m.span()
