@@ -186,7 +186,7 @@ def normalize_against(url: Column, b: Column | None, www: Column | None = None)
     taken = lambda u: F.struct(
         F.lower(_part(u, 2)).alias("name"), path(u).alias("path"), F.filter(parameters(u), lambda x: ~F.regexp_extract(x, "^([^=]*)", 1).isin(*TRACKING)).alias("kept"), (u.rlike("(?i)^https?://") & is_url(u)).alias("fit")
     )
-    return let(F.trim(url), lambda t: let(goal(t), lambda u: let(taken(u), joined)))
+    return let(F.nullif(F.trim(url), F.lit("")), lambda t: let(goal(t), lambda u: let(taken(u), joined)))
 
 
 def normalize(url: Column, base: Column | None = None, www: Column | None = None) -> Column:

@@ -76,7 +76,8 @@ def facts(pages: DataFrame) -> DataFrame:
 def issues(found: DataFrame) -> DataFrame:
     """(project_id, page_id, issue_type, severity): a row for each rule that a page's facts meet."""
     hits = F.array(*[F.when(F.expr(f"coalesce({cond}, false)"), F.struct(F.lit(t).alias("issue_type"), F.lit(s).alias("severity"))) for t, s, cond in RULES])
-    return found.select("project_id", "page_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_i")).select("project_id", "page_id", "_i.issue_type", "_i.severity")
+    # An outer explode: for an inner one the optimizer adds a filter that computes all facts a second time.
+    return found.select("project_id", "page_id", F.explode_outer(F.filter(hits, lambda x: x.isNotNull())).alias("_i")).filter("_i IS NOT NULL").select("project_id", "page_id", "_i.issue_type", "_i.severity")
 
 
 def json_ld_problems(triples: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ _BASE = "'https://' || lower(" + part("url", 2) + ")"
     SELECT page_id, goal, anchor_text, rel, internal FROM l"""
 )
 def link_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).select("page_id", F.explode(H.links(F.col("html"), F.col("url"))).alias("l"))
+    rows = _pages(spark, d).select("page_id", F.explode_outer(H.links(F.col("html"), F.col("url"))).alias("l")).filter("l IS NOT NULL")
     return rows.select("page_id", F.col("l.url").alias("goal"), "l.anchor_text", F.array_join("l.rel", ",").alias("rel"), "l.internal")
 
 
@@ -147,7 +147,7 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT page_id, o || f || 'b.webp', '', 0, 0, 'lazy', 'webp' FROM o WHERE page_id % 2 = 1"""
 )
 def image_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", F.explode(H.images(H.tags_of(F.col("html"), "img"), F.col("url"))).alias("i")).select("page_id", "i.src", "i.alt", "i.width", "i.height", "i.loading", "i.format")
+    return _pages(spark, d).select("page_id", F.explode_outer(H.images(H.tags_of(F.col("html"), "img"), F.col("url"))).alias("i")).filter("i IS NOT NULL").select("page_id", "i.src", "i.alt", "i.width", "i.height", "i.loading", "i.format")
 
 
 @query(
@@ -210,10 +210,12 @@ def page_issues(spark: SparkSession, d: str) -> DataFrame:
     return pagefacts.issues(pagefacts.facts(_pages(spark, d)))
 
 
+# Spark's trim takes blanks only.
+SPACES = lambda c: c.replace("trim(page_title)", "trim(page_title, ' ')").replace("trim(description)", "trim(description, ' ')").replace("trim(coalesce(page_title, ''))", "trim(coalesce(page_title, ''), ' ')").replace("trim(coalesce(description, ''))", "trim(coalesce(description, ''), ' ')")
 _FACT_RULES = [r for r in pagefacts.RULES if r[0] in ("server_error", "not_found", "missing_title", "missing_meta_description", "missing_h1", "multiple_h1", "title_too_long", "title_too_short", "meta_description_too_long", "meta_description_too_short", "missing_canonical", "noindex", "missing_open_graph", "missing_twitter_card", "missing_structured_data", "large_page_size", "slow_page", "missing_viewport_meta", "mixed_content")]
 
 
-@query(RAW + f", m AS ({META}) " + " UNION ALL ".join(f"SELECT '{t}' AS issue_type, '{s}' AS severity, count(*) AS pages FROM m WHERE {c} HAVING count(*) > 0" for t, s, c in _FACT_RULES))
+@query(RAW + f", m AS ({META}) " + " UNION ALL ".join(f"SELECT '{t}' AS issue_type, '{s}' AS severity, count(*) AS pages FROM m WHERE {SPACES(c)} HAVING count(*) > 0" for t, s, c in _FACT_RULES))
 def issues_by_type(spark: SparkSession, d: str) -> DataFrame:
     found = pagefacts.issues(pagefacts.facts(_pages(spark, d))).filter(F.col("issue_type").isin([r[0] for r in _FACT_RULES]))
     return found.groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
