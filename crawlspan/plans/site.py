@@ -12,7 +12,7 @@ from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
 from crawlspan.operators import crawl, linkgraph, merge, nested, pagefacts, scores, sitefiles
 from crawlspan.sources.rendered import html_sql, rendered
-from crawlspan.sources.tables import read
+from crawlspan.sources.tables import evenly, read
 from crawlspan.streaming import logs
 
 QUERIES = {}
@@ -103,7 +103,7 @@ FACTS = ["page_title", "description", "h1_count", "canonical", "noindex", "og_co
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return rendered(read(spark, d, "pages"))
+    return rendered(evenly(read(spark, d, "pages")))
 
 
 @query(RAW + f", m AS ({META}) SELECT page_id, {', '.join(FACTS)} FROM m")
@@ -202,7 +202,7 @@ _SYLLABLES = """list_sum(list_transform(list_transform(ws, lambda w: regexp_repl
       sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS content_hash FROM s"""
 )
 def text_measures(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", T.readability(F.col("text")).alias("readability"), T.content_hash(F.col("text")).alias("content_hash"))
+    return evenly(read(spark, d, "documents", "doc_id", "text")).select("doc_id", T.readability(F.col("text")).alias("readability"), T.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query()

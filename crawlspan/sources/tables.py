@@ -28,3 +28,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """The rows over all slots. A table with fewer splits than slots, which makes it a small one, is dealt out; others stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
