@@ -4,7 +4,7 @@ A group and percentile has an interval of values that must hold its rank. Each p
 open intervals and keeps the half in which the rank lies; `LEVELS` halvings are done in one pass by counting the 2**LEVELS
 equal parts of an interval. Percentiles that still share an interval share its counts. Only (group, part, count) is shuffled,
 after map-side partial aggregation, so a group of any size costs a few rows for each input partition. Passes: one for the
-bounds and one for each LEVELS bits of the largest range; 64-bit integers take 17 at most.
+bounds and one for each LEVELS bits of the largest range; 64-bit integers take 11 at most.
 
 Values are 64-bit integers, so an interval of one value is the exact percentile: the smallest value with at least
 ceil(n * permille / 1000) of the group's n non-null values not above it (the smallest value for 0).
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from crawlspan.sources.tables import checkpoint_dir
 
 PERMILLE = (500, 900, 950, 990)
-LEVELS = 4
+LEVELS = 6
 #: Open intervals up to which they are broadcast to the counting pass (some 100 bytes each); above, they are joined by shuffle.
 BROADCAST_MOST = 100_000
 
