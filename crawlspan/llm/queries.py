@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlspan.llm import duplicates, leakage, percentiles, pii, residue, tokens
-from crawlspan.sources.tables import read
+from crawlspan.sources.tables import evenly, read
 
 TIMINGS = ["load_time_ms", "first_byte_time_ms"]
 
@@ -41,23 +41,23 @@ TITLE = {"id": "page_id", "title": "title", "url": "url", "words": "word_count",
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose title is residue, filler, an error or block message, or a script notice."""
-    return residue.residue(read(spark, d, "pages", *TITLE.values()), **TITLE).select("page_id")
+    return residue.residue(evenly(read(spark, d, "pages", *TITLE.values())), **TITLE).select("page_id")
 
 
 def p6_by_reason(spark: SparkSession, d: str) -> DataFrame:
     """How many pages each detector excludes."""
-    return residue.residue(read(spark, d, "pages", *TITLE.values()), **TITLE).groupBy("reason").agg(F.count("*").alias("pages"))
+    return residue.residue(evenly(read(spark, d, "pages", *TITLE.values())), **TITLE).groupBy("reason").agg(F.count("*").alias("pages"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     import public_tokenizers
 
-    return tokens.token_ids(read(spark, d, "documents", "doc_id", "text"), id="doc_id", text="text", vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return tokens.token_ids(evenly(read(spark, d, "documents", "doc_id", "text")), id="doc_id", text="text", vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "benchmark"), id="doc_id", text="text", item="item_id", item_text="text")
+    return leakage.leaks(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "benchmark"), id="doc_id", text="text", item="item_id", item_text="text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +75,12 @@ TEXT = {"id": "doc_id", "text": "text"}
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information in the documents, as it is written."""
-    return pii.entities(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "name_list"), **TEXT)
+    return pii.entities(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT)
 
 
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     """The documents with typed placeholders, and with keyed surrogates, in the place of personal information."""
-    return pii.redacted(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "name_list"), **TEXT)
+    return pii.redacted(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT)
 
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans, p10_found, p10_texts)}
