@@ -2,8 +2,9 @@
 
 A title is reduced to its core: character references resolved, invisible characters dropped, and the site's name, as its host
 spells it, cut off. Placeholder detectors look at the core's signs, phrase detectors at its words, where a phrase must be the
-whole core: a headline about such things has words of its own. Page evidence decides what is left: a core that mentions such a
-message counts only on a page with hardly any text. Host evidence finds messages that no list has: a short core that repeats on
+whole core: a headline about such things has words of its own. A placeholder or unrendered value counts wherever it stands,
+unless the words around it speak of notation. Page evidence decides what is left: a core that mentions such a message counts
+only on a page with hardly any text. Host evidence finds messages that no list has: a short core that repeats on
 several hosts, never shares a term with the address slug, and stands on low-information pages only.
 
 All but the decoding of references is columns. The host evidence takes one shuffle on the core, aggregated map-side, of the
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from crawlspan.llm.duplicates import decoded
 
-#: Words besides a placeholder from which a title is about placeholders and not made of them.
-OWN_WORDS = 4
 #: Words of text below which a page has hardly any content.
 THIN = 150
 #: Host evidence: hosts that share a core, and the longest core in words.
@@ -30,11 +29,22 @@ PLACEHOLDERS = (
     r"\{\{.*?\}\}+", r"\{%.*?%\}", r"<%.*?%>", r"<\?.*?\?>", r"\$\{[^}]*\}", r"#\{[^}]*\}", r"\[\[.*?\]\]", r"%%\w+%%", r"##\w+##", r"@@\w+@@",
     r"__[\p{L}\d]+(_[\p{L}\d]+)*__", r"%[\p{L}_]{3,}%", r"\$[\p{L}_]{3,}\$", r":[\p{L}]+(_[\p{L}]+)+:", r"\{[\p{L}_.]{2,}\}", r"\{\d+\}",
     r"\[[\p{L} _-]*(title|your|name|heading|headline|insert|placeholder|missing|text|here|city|product)[\p{L} _:.-]*\]", r"\[object object\]", r"(?<![\w%])%[sd](?!\w)",
+    r"\[(location|town|place|region|country|brand|company|business|keyword|category|author|service)([ _-]name)?\]", r"(?<![\w$])\$\p{L}[\p{L}_.]{2,}(?![\w$])", r"<(?!/|(?:html|head|title|meta|link|body|main|nav|header|footer|section|article|aside|br|hr|em|strong|span|div|sup|sub|small|big|mark|code|pre|font|img|iframe|script|style|form|input|button|table|tr|td|th|ul|ol|li|h[1-6])\b)[\p{L}_.-]{2,}>",
 )
 
 # Values that were never rendered.
 UNRENDERED = ("undefined", "null", "nan", "none", "nil", "n a")
 
+# Words of headlines about notation; those of TOPICS decide alone, those of NEAR beside a quoted or discussed notation.
+TOPICS = r"(?<!\p{L})(printf|placeholders|interpolation|templating|(template|merge|format) (syntax|languages?|engines?|tags?|variables?|strings?|literals?|fields?|values?)|format specifiers?|curly bra(ces|ckets)|regular expressions?)(?!\p{L})"
+NEAR = r"(?<!\p{L})(templates?|strings?|syntax|markup|notation|variables?|braces|brackets|escap(e|es|ed|ing)|mustache|handlebars|jinja|liquid|twig|php|sql|java|javascript|typescript|python|ruby|perl|shell|code|coding|programm(ing|ers?)|html|format(s|ting)?|parser|compiler|debugging)(?!\p{L})"
+ASKS = r"(?<!\p{L})(what|why|how|when)(?!\p{L})"
+SPEAKS = r"(?<!\p{L})(writ(e|es|ing)|us(e|es|ing)|typ(e|es|ing)|print(s|ing)?|pars(e|es|ing)|check(s|ing)? for|means?|meaning of|versus|vs\.?|between|about|avoid(s|ing)?|handl(e|es|ing)|replac(e|es|ing)) (the |an? )?"
+QUOTES, DOUBLE = "[\"'“”‘’«»„‚`]", '["“”«»„`]'
+# An unrendered value where a name or place would stand; one in the spelling of programs in a title of capitalised words.
+SLOT = r"(?:^|[,;|–—:·/(\[-]\s*|(?<!\p{L})(?:in|for|from|of|by|at|to|near|with|and|&) )(undefined|null)\s*(?:$|[,;|–—:·/)\].!-])"
+VALUE = r"(?s)(?<![\p{L}\p{N}])NaN(?![\p{L}\p{N}])|^(?=.*\p{Lu})(?=.*(?<![\p{L}\p{N}])(?:undefined|null)(?![\p{L}\p{N}]))(?!.*(?<!\p{L})(?!(?:undefined|null)(?!\p{L}))\p{Ll}{5})"
+
 # Filler and default texts, as words in lower case.
 FILLER = (
     r"(.* )?lorem ipsum dolor( .*)?", r"lorem ipsum", r"dolor sit amet( .*)?", r"consectetur adipiscing( .*)?", r"(untitled|unnamed)( (document|page|post))?( \d+)?",
@@ -120,16 +130,23 @@ def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, sta
 
     reason is `placeholder`, `unrendered`, `filler`, `error`, `notice` or `message` (one that only page evidence decides), or null.
     """
-    rows = pages.select(F.col(id).alias("_id"), F.col(words).alias("_words"), F.col(status).alias("_status"), site_words(F.col(url)).alias("_site"), slug_terms(F.col(url)).alias("_slug"), core_of(F.col(title), F.col(url)).alias("core"))
+    rows = pages.select(F.col(id).alias("_id"), F.col(words).alias("_words"), F.col(status).alias("_status"), site_words(F.col(url)).alias("_site"), slug_terms(F.col(url)).alias("_slug"), F.col(title).alias("_raw"), core_of(F.col(title), F.col(url)).alias("core"))
     rows = rows.filter(F.col("core").rlike(r"[\p{L}\p{N}]|%s")).withColumn("terms", words_of(F.col("core")))
     marks = "(" + "|".join(PLACEHOLDERS) + ")"
-    own = F.size(F.filter(F.split(words_of(F.regexp_replace("core", marks, " ")), " "), lambda w: F.length(w) > 0))
+    marked = F.col("core").rlike(marks)
     many = F.size(F.split("terms", " "))
     bare = F.regexp_replace("terms", "[’]", "'")
-    unrendered = F.col("terms").isin(*UNRENDERED) | ((many <= 3) & F.arrays_overlap(F.split("terms", " "), F.array(*[F.lit(x) for x in ("undefined", "null", "nan")])))
+    bits = F.split("terms", " ")
+    # One pattern for each text, as each is compiled into every filter. What may be notation becomes U+0001.
+    noted = F.regexp_replace("core", "(?:" + marks + r"|(?<![\p{L}\p{N}])(?:undefined|null|nan)(?![\p{L}\p{N}]))", "\x01")
+    quoted = f'(?:{QUOTES}\\s*\\x01\\s*{QUOTES}|{DOUBLE}[^"“”«»„`]{{0,30}}\\x01[^"“”«»„`]{{0,30}}{DOUBLE})'
+    spoken = f"{SPEAKS}{QUOTES}?\\x01"
+    about = noted.rlike(TOPICS) | ((F.coalesce("_words", F.lit(THIN)) >= THIN) & noted.rlike(f"^(?=.*{quoted})(?=.*(?:{NEAR}|{ASKS}))|^(?=.*{spoken})(?=.*{NEAR})"))
+    held = F.col("core").rlike(SLOT) | F.col("_raw").rlike(VALUE)
+    unrendered = F.col("terms").isin(*UNRENDERED) | ((many <= 3) & F.arrays_overlap(bits, F.array(*[F.lit(x) for x in ("undefined", "null", "nan")])))
     thin = (F.coalesce("_words", F.lit(0)) < THIN) & (many <= 9) & F.col("terms").rlike(MENTIONS)
     reason = (
-        F.when(F.col("core").rlike(marks) & (own < OWN_WORDS), "placeholder").when(unrendered, "unrendered").when(bare.rlike(whole(FILLER)), "filler")
+        F.when((marked | held) & ~about, F.when(marked, "placeholder").otherwise("unrendered")).when(unrendered, "unrendered").when(bare.rlike(whole(FILLER)), "filler")
         .when(bare.rlike(whole(ERRORS)), "error").when(bare.rlike(whole(NOTICES)), "notice").when(thin, "message")
     )
     return rows.withColumns({"reason": reason, "_many": many})

@@ -31,3 +31,19 @@ def test_host_evidence(spark):
     rows += [(24, "Unsere Lampen", None, None, None)]
     got = {(r.i, r.reason) for r in R.residue(spark.createDataFrame(rows, schema), **OPTIONS).collect()}
     assert got == {(i, "repeated") for i in range(8)}
+
+
+LONG = [
+    "Folding Bicycle Pannier in Natural Dyes in {{city}} | Mirmark Market", "Sturdy Garden Bench Made to Order in Sotoverde | %SITENAME%", "Amber Drying Rack for Wet Climates in Gillsford | {{site.name}}", "How to Use {{product.name}} on Long Winter Walks", "Writing Desk with Ten-Year Guarantee in <%= city %>",
+    "Portable Log Basket for Gardeners' Sheds, <city>", "Velvet Soup Ladle for Tea & Coffee in Sotoverde – $brand", "Lacquered Tent Pegs for Gardeners' Sheds in [location]", "Slate Knitting Kit with Lifetime Repair in undefined", "Copper Boot Tray with Soft Close, undefined", "Buy Your undefined Online with Free Returns", "Kettles and NaN Other Offers for Small Kitchens",
+]
+ABOUT = [
+    "Mustache Templates: When to Write {{name}} or {{{name}}}", "Using %s and %d in Printf Strings", "Why Your Newsletter Opens with “Dear {{name}}”", "Undefined Behaviour in Old Firmware", "Null Hypotheses for Busy Readers", "Why undefined Is Not null in JavaScript Code: Checking for undefined", "What the <title> Tag Does for a Shop",
+    "A Kettle for $30 and 20 % Off", "Second to None: Our Oldest Kettles", "Gifts for Nan and Grandad by Local Makers",
+]
+
+
+def test_placeholders_in_long_titles(spark):
+    rows = [(i, t, f"https://mill-shop.test/item/oak-kettle-{i}", 900, 200) for i, t in enumerate(LONG + ABOUT)]
+    got = {r.i for r in R.residue(spark.createDataFrame(rows, "i long, t string, u string, w int, s int"), **OPTIONS).collect()}
+    assert [t for i, t in enumerate(LONG) if i not in got] == [] and [ABOUT[i - len(LONG)] for i in got if i >= len(LONG)] == []
