@@ -169,6 +169,22 @@ def table_of(found: DataFrame, name: str, keys: list[str]) -> DataFrame:
     ).filter("_own > 0").drop("_own")
 
 
+def all_tables(found: DataFrame) -> DataFrame:
+    """The flat tables of all paths, one row for each object: source, table_path, row_id, node, parent and `values`, a map of all its keys.
+
+    A value is its kind and text, as in `json_triples`. An empty object has an empty map; scalars outside any object are in no table.
+    Of a repeated key the largest text counts.
+    """
+    is_object = F.col("kind") == "object"
+    rows = found.groupBy("source", "row_id", "node").agg(
+        F.max(F.when(is_object, F.col("table"))).alias("table_path"), F.max("parent").alias("parent"), F.collect_list(F.when(~is_object, F.struct("key", "value", "kind"))).alias("_pairs")
+    ).filter("table_path IS NOT NULL")
+    ordered = rows.withColumn("_pairs", F.array_sort("_pairs"))
+    last = F.filter("_pairs", lambda x, i: (i == F.size("_pairs") - 1) | (x["key"] != F.get("_pairs", i + 1)["key"]))
+    values = F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], F.struct(x["kind"].alias("kind"), x["value"].alias("value")))))
+    return ordered.select("source", "table_path", "row_id", "node", "parent", values.alias("values"))
+
+
 def page_texts(pages: DataFrame, scores: DataFrame) -> DataFrame:
     """The JSON texts of the audit tables: each block of structured_data, and each report."""
     blocks = pages.select(F.col("page_id").alias("row_id"), F.posexplode("structured_data").alias("at", "text"))

@@ -74,7 +74,12 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     return nested.table_of(_triples(spark, d).filter("source = 'report'"), "$|categories|technical|checks|*", ["id", "label", "status", "passed", "total"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes_by_scan, p4_found, p4_link_results, p5_found, p5_orphans_by_month, p7_found, p7_tables, p7_offers, p7_checks)}
+def p7_values(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of all paths, with every key and value of every object."""
+    return nested.all_tables(_triples(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes_by_scan, p4_found, p4_link_results, p5_found, p5_orphans_by_month, p7_found, p7_tables, p7_offers, p7_checks, p7_values)}
 
 _P2 = """
 WITH snaps AS (

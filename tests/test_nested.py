@@ -65,3 +65,20 @@ def test_tables(spark):
     assert nested.json_nodes(df).count() == 7
     assert nested.json_nodes(df.unionAll(df)).count() == 7
     assert nested.json_nodes(df.limit(0)).count() == 0
+
+
+def test_all_tables_hold_every_value(spark):
+    texts = [
+        {"@type": "Product", "offers": [{"price": 1.5}, {"price": "2", "seller": {"name": None}}], "tags": ["a", [True]], "none": {}}, {"offers": {"price": "null", "price2": 3}, "reviews": [{"stars": 5}]}, [{"categories": {"content": {"checks": [{"id": "title"}]}, "media": {"checks": [{"id": "alt"}]}}}], 7,
+    ]
+    rows = [("s", i, "$|0", json.dumps(t)) for i, t in enumerate(texts)] + [("s", 4, "$|0", '{"k": 1, "k": 2}'), ("s", 5, "$|0", '{"cut": ')]
+    found = nested.all_tables(nested.json_triples(spark.createDataFrame(rows, "source string, row_id long, root string, text string"))).collect()
+    got = {(r.row_id, r.table_path, r.node, r.parent): {k: (v.kind, v.value) for k, v in r["values"].items()} for r in found}
+    assert len(got) == len(found) and got == {
+        (0, "$", "$|0", ""): {"@type": ("string", "Product"), "tags|0": ("string", "a"), "tags|1|0": ("word", "true")}, (0, "$|offers|*", "$|0|offers|0", "$|0"): {"price": ("number", "1.5")},
+        (0, "$|offers|*", "$|0|offers|1", "$|0"): {"price": ("string", "2")}, (0, "$|offers|*|seller", "$|0|offers|1|seller", "$|0|offers|1"): {"name": ("word", "null")}, (0, "$|none", "$|0|none", "$|0"): {},
+        (1, "$", "$|0", ""): {}, (1, "$|offers", "$|0|offers", "$|0"): {"price": ("string", "null"), "price2": ("number", "3")}, (1, "$|reviews|*", "$|0|reviews|0", "$|0"): {"stars": ("number", "5")},
+        (2, "$|*", "$|0|0", ""): {}, (2, "$|*|categories", "$|0|0|categories", "$|0|0"): {}, (2, "$|*|categories|content", "$|0|0|categories|content", "$|0|0|categories"): {}, (2, "$|*|categories|media", "$|0|0|categories|media", "$|0|0|categories"): {},
+        (2, "$|*|categories|content|checks|*", "$|0|0|categories|content|checks|0", "$|0|0|categories|content"): {"id": ("string", "title")}, (2, "$|*|categories|media|checks|*", "$|0|0|categories|media|checks|0", "$|0|0|categories|media"): {"id": ("string", "alt")},
+        (4, "$", "$|0", ""): {"k": ("number", "2")},
+    }
