@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlspan.functions import html as H
 from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
-from crawlspan.operators import crawl, linkgraph, merge, nested, pagefacts, scores, sitefiles
+from crawlspan.operators import crawl, linkgraph, merge, nested, pagefacts, scores, sitefiles, snapshots
 from crawlspan.sources.rendered import html_sql, rendered
 from crawlspan.sources.tables import evenly, read
 from crawlspan.streaming import logs
@@ -299,6 +299,33 @@ def page_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.page_scores(read(spark, d, "pages"))
 
 
+def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with the facts that scores need, and each project's latest completed scan with its blocked sign."""
+    p = rendered(evenly(read(spark, d, "pages")))
+    found = pagefacts.facts(p).select("page_id", "og_count", "image_count", "images_without_alt")
+    scans = snapshots.completed(read(spark, d, "scans")).groupBy("project_id").agg(F.max_by("scan_id", F.struct("started_at", "scan_id")).alias("scan_id"))
+    blocked = read(spark, d, "scan_scores", "scan_id", "blocked").groupBy("scan_id").agg(F.max("blocked").alias("blocked"))
+    return read(spark, d, "pages").join(found, "page_id"), scans.join(blocked, "scan_id", "left").select("project_id", "blocked")
+
+
+@query()
+def report_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The four category scores and the overall score of every project's latest scan."""
+    return scores.report_scores(*_report(spark, d))
+
+
+@query()
+def report_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every check behind these scores with the addresses that fail it."""
+    return scores.report_checks(*_report(spark, d))
+
+
+@query()
+def report_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's score and checks."""
+    return scores.report_pages(*_report(spark, d))
+
+
 ROBOTS = [
     ("a.test", "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /\nSitemap: https://a.test/sitemap.xml"), ("b.test", "# none\nUser-agent: CCBot\nDisallow: / # all\nUser-agent: *\nDisallow: /tmp\nAllow: /"),
     ("c.test", "User-agent: GPTBot\nAllow: /\nUser-agent: *\nDisallow: /"), ("d.test", ""),

@@ -76,3 +76,17 @@ def test_scores(spark):
     pages = spark.createDataFrame([(1, 1, 200, True, 500, "t", "d", 800, ["h"], ["A"], ["{}"]), (2, 2, 200, False, None, None, " ", None, [], None, None)], schema)
     assert {r.project_id: (r.technical, r.content, r.aeo, r.overall) for r in scores.site_scores(pages).collect()} == {1: (100, 100, 100, 100), 2: (67, 0, 0, 22)}
     assert {r.page_id: r.score for r in scores.page_scores(pages).collect()} == {1: 100, 2: 22}
+
+
+def test_whole_report(spark):
+    """The numbers of the reference's own tests: an empty page has 67, 0, 100, 0 and 42, a full one 100."""
+    schema = "page_id int, project_id int, url string, http_status int, is_indexable boolean, load_time_ms int, title string, meta_description string, word_count int, h1s array<string>, schema_types array<string>, structured_data array<string>, og_count int, image_count int, images_without_alt int"
+    full = lambda i, p, title="t", images=(1, 0): (i, p, f"/{i}", 200, True, 500, title, "d", 800, ["h"], ["A"], ["{}"], 1, *images)
+    empty = lambda i, p: (i, p, f"/{i}", 200, True, 0, None, "\t\u00a0", 0, [], [], None, 0, 0, 0)
+    pages = spark.createDataFrame([full(1, 1), empty(2, 2)[:4] + (False,) + empty(2, 2)[5:], full(3, 3), full(4, 3, None, (4, 1)), full(5, 4)], schema)
+    crawls = spark.createDataFrame([(1, False), (2, None), (3, False), (4, True), (5, False)], "project_id int, blocked boolean")
+    got = {r.project_id: (r.pages, r.technical, r.content, r.media, r.aeo, r.overall, r.blocked) for r in scores.report_scores(pages, crawls).collect()}
+    assert got == {1: (1, 100, 100, 100, 100, 100, False), 2: (1, 33 + 34, 0, 100, 0, 42, False), 3: (2, 100, 88, 80, 93, 90, False), 4: (0, 0, 0, 0, 0, 0, True), 5: (0, 0, 0, 0, 0, 0, False)}
+    checks = {(r.project_id, r.category, r.check): (r.status, r.passed, r.total, r.affected_urls) for r in scores.report_checks(pages, crawls).collect()}
+    assert len(checks) == 3 * 15 and checks[2, "media", "img_alt"] == ("na", 0, 0, []) and checks[3, "content", "title"] == ("fail", 1, 2, ["/4"]) and checks[3, "media", "img_alt"] == ("fail", 4, 5, ["/4"]) and checks[1, "aeo", "aeo_open_graph"] == ("pass", 1, 1, [])
+    assert {r.page_id: (r.score, len(r.checks)) for r in scores.report_pages(pages, crawls).collect()} == {1: (100, 11), 2: (20, 10), 3: (100, 11), 4: (82, 11)}
