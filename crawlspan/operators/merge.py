@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,31 @@ def reconcile(kept: DataFrame, now: DataFrame, crawled: DataFrame, at: Column) -
     )
 
 
+def reconcile_last(issues: DataFrame, scans: DataFrame, pages: DataFrame) -> DataFrame:
+    """The issues of each project's last scan reconciled with those of the scan before: the rows of `reconcile`, and scan_id.
+
+    scans: the scans that count, with project_id, scan_id, started_at and completed_at. pages: (scan_id, page_id) that were crawled. Of
+    several rows of an issue in the earlier scan the one updated last counts. New issues are created, and resolved ones fixed, when the
+    last scan ended, or began if its end isn't known. A project's only scan gives new issues.
+    """
+    w = Window.partitionBy("project_id").orderBy(F.col("started_at").desc_nulls_last(), F.col("scan_id").desc())
+    index = scans.groupBy("project_id", "scan_id").agg(F.max("started_at").alias("started_at"), F.max("completed_at").alias("completed_at")).withColumn("_back", F.row_number().over(w))
+    last = index.filter("_back = 1").select("project_id", "scan_id", F.coalesce("completed_at", "started_at").alias("_at"))
+    of = lambda back: issues.drop("project_id").join(index.filter(F.col("_back") == back).select("project_id", "scan_id"), "scan_id").filter("fingerprint IS NOT NULL")
+    state = ["page_id", "is_fixed", "seen_count", "created_at", "fixed_at"]
+    kept = of(2).groupBy("project_id", "fingerprint").agg(F.max(F.struct("updated_at", *state)).alias("_r")).select("project_id", "fingerprint", *[f"_r.{c}" for c in state])
+    crawled = pages.join(last.select("scan_id"), "scan_id", "left_semi").select("page_id")
+    found = reconcile(kept, of(1), crawled, F.lit(None).cast(issues.schema["created_at"].dataType)).join(last, "project_id")
+    return found.withColumns({"created_at": F.coalesce("created_at", "_at"), "fixed_at": F.when(F.col("state") == "resolved", F.col("_at")).otherwise(F.col("fixed_at"))}).drop("_at")
+
+
+def latest_pages(history: DataFrame, scans: DataFrame) -> DataFrame:
+    """The row of each page's latest scan in the history, however late it was recorded; of several in one scan the one recorded last."""
+    began = scans.groupBy("scan_id").agg(F.max("started_at").alias("_began"))
+    rows = history.join(began, "scan_id", "left").select("project_id", "page_id", F.struct("_began", F.col("scan_id").alias("_scan"), "recorded_at", *[F.col(c).alias(f"_{c}") for c in history.columns]).alias("_r"))
+    return rows.groupBy("project_id", "page_id").agg(F.max("_r").alias("_r")).select(*[F.col(f"_r._{c}").alias(c) for c in history.columns])
+
+
 def next_month(day: Column) -> Column:
     """A month later by the calendar's count of days: the 31st of January gives the 2nd or 3rd of March."""
     return F.date_add(F.add_months(F.trunc(day, "month"), 1), F.dayofmonth(day) - 1)

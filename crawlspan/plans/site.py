@@ -400,6 +400,19 @@ def page_upsert(spark: SparkSession, d: str) -> DataFrame:
     return merge.upsert(p.filter("page_id % 3 != 1"), p.filter("page_id % 3 != 0").withColumn("http_status", F.lit(999)), ["page_id"])
 
 
+@query()
+def issue_reconcile_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Every issue of each project's last two completed scans with its state."""
+    return merge.reconcile_last(read(spark, d, "issues"), snapshots.completed(read(spark, d, "scans")), read(spark, d, "pages", "scan_id", "page_id"))
+
+
+@query()
+def page_upsert_history(spark: SparkSession, d: str) -> DataFrame:
+    """All pages over the latest row of each page of the history."""
+    kept = merge.latest_pages(read(spark, d, "page_history"), read(spark, d, "scans"))
+    return merge.upsert(kept, read(spark, d, "pages").withColumn("recorded_at", F.col("scanned_at")).select(*kept.columns), ["project_id", "page_id"])
+
+
 @query("SELECT scan_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (coalesce(severity, 'low') = 'low') AS low FROM (SELECT DISTINCT scan_id, issue_id, severity FROM issues) GROUP BY 1")
 def scan_snapshot(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "issues", "scan_id", "issue_id", "severity").distinct().withColumn("severity", F.coalesce("severity", F.lit("low")))

@@ -90,3 +90,23 @@ def test_whole_report(spark):
     checks = {(r.project_id, r.category, r.check): (r.status, r.passed, r.total, r.affected_urls) for r in scores.report_checks(pages, crawls).collect()}
     assert len(checks) == 3 * 15 and checks[2, "media", "img_alt"] == ("na", 0, 0, []) and checks[3, "content", "title"] == ("fail", 1, 2, ["/4"]) and checks[3, "media", "img_alt"] == ("fail", 4, 5, ["/4"]) and checks[1, "aeo", "aeo_open_graph"] == ("pass", 1, 1, [])
     assert {r.page_id: (r.score, len(r.checks)) for r in scores.report_pages(pages, crawls).collect()} == {1: (100, 11), 2: (20, 10), 3: (100, 11), 4: (82, 11)}
+
+
+def test_reconcile_last_scans(spark):
+    scans = spark.createDataFrame([(9, 1, "t1", "t1e"), (4, 1, "t2", "t2e"), (7, 1, "t3", None), (7, 1, "t3", "t3e"), (8, 2, "t1", None)], "scan_id int, project_id int, started_at string, completed_at string")
+    schema = "issue_id int, project_id int, scan_id int, page_id int, fingerprint string, is_fixed boolean, seen_count int, created_at string, fixed_at string, updated_at string"
+    row = lambda i, scan, page, f, seen=1, at="u1", fixed=False: (i, 1, scan, page, f, fixed, seen, "t0", None, at)
+    issues = spark.createDataFrame(
+        [row(1, 9, 1, "old"), row(2, 4, 1, "a", 2), row(3, 4, 1, "a", 5, "u2"), row(3, 4, 1, "a", 5, "u2"), row(6, 4, 1, "gone"), row(9, 4, 3, "away"), row(12, 4, 1, None), row(15, 7, 1, "a", 6), row(18, 7, 5, "n"), row(21, 6, 5, "stray"), (24, 2, 8, 6, "first", False, 1, "t0", None, "u1")], schema,
+    )
+    pages = spark.createDataFrame([(7, 1), (7, 5), (9, 3), (8, 6)], "scan_id int, page_id int")
+    got = {(r.project_id, r.fingerprint): (r.scan_id, r.state, r.is_fixed, r.seen_count, r.created_at, r.fixed_at) for r in merge.reconcile_last(issues, scans, pages).collect()}
+    assert got == {
+        (1, "a"): (7, "persisting", False, 6, "t0", None), (1, "gone"): (7, "resolved", True, 1, "t0", "t3e"), (1, "away"): (7, "untouched", False, 1, "t0", None), (1, "n"): (7, "new", False, 1, "t3e", None), (2, "first"): (8, "new", False, 1, "t1", None),
+    }
+
+
+def test_latest_pages(spark):
+    scans = spark.createDataFrame([(9, "t1"), (4, "t2")], "scan_id int, started_at string")
+    history = spark.createDataFrame([(9, 1, 1, "late", "r9"), (4, 1, 1, "x", "r2"), (4, 1, 1, "y", "r3"), (4, 1, 1, "y", "r3"), (9, 1, 3, None, None), (5, 1, 6, "z", "r1")], "scan_id int, project_id int, page_id int, url string, recorded_at string")
+    assert {tuple(r) for r in merge.latest_pages(history, scans).collect()} == {(4, 1, 1, "y", "r3"), (9, 1, 3, None, None), (5, 1, 6, "z", "r1")}
