@@ -221,6 +221,12 @@ def issues_by_type(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
 
 
+@query()
+def issues_by_type_all(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages meet each of all rules."""
+    return pagefacts.issues(pagefacts.facts(_pages(spark, d))).groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
+
+
 @query()
 def json_ld_problems(spark: SparkSession, d: str) -> DataFrame:
     texts = nested.page_texts(read(spark, d, "pages"), read(spark, d, "scan_scores")).filter("source = 'structured_data'")

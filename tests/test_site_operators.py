@@ -110,3 +110,22 @@ def test_latest_pages(spark):
     scans = spark.createDataFrame([(9, "t1"), (4, "t2")], "scan_id int, started_at string")
     history = spark.createDataFrame([(9, 1, 1, "late", "r9"), (4, 1, 1, "x", "r2"), (4, 1, 1, "y", "r3"), (4, 1, 1, "y", "r3"), (9, 1, 3, None, None), (5, 1, 6, "z", "r1")], "scan_id int, project_id int, page_id int, url string, recorded_at string")
     assert {tuple(r) for r in merge.latest_pages(history, scans).collect()} == {(4, 1, 1, "y", "r3"), (9, 1, 3, None, None), (5, 1, 6, "z", "r1")}
+
+
+def test_issues_of_all_rules_are_counted(spark, tmp_path):
+    """The registered counts over pages on disk, against the facts taken row by row in Python."""
+    from crawlspan.plans import site
+    from crawlspan.sources.rendered import rendered
+
+    schema = (
+        "page_id long, project_id long, scan_id long, url string, title string, meta_description string, h1s array<string>, http_status int, depth int, word_count int, is_indexable boolean, canonical_url string, content_type string, size_bytes long, load_time_ms int, "
+        "first_byte_time_ms int, structured_data array<string>, schema_types array<string>, content_hash string, created_at timestamp_ntz, scanned_at timestamp_ntz"
+    )
+    rows = [(i, 1, 1, f"https://mill-shop.test/{'Bad_Path/' if i % 2 else ''}{i if i % 5 else ''}", "t" * (i * 3), "d" * (i * 8), ["h"] * (i % 3), (200, 404, 503)[i % 3], 1, i * 40, i % 4 > 0, "https://other.test/" if i % 3 else None, "text/html", i * 300_000, i * 300, 1, [], [], None, None, None) for i in range(40)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    want = {}
+    for r in pagefacts.facts(rendered(spark.read.parquet(f"{tmp_path}/pages.parquet"))).selectExpr("*", *[f"coalesce({c}, false) AS `is {t}`" for t, _, c in pagefacts.RULES]).collect():
+        for t, severity, _ in pagefacts.RULES:
+            want[t, severity] = want.get((t, severity), 0) + r[f"is {t}"]
+    got = {(r.issue_type, r.severity): r.pages for r in site.issues_by_type_all(spark, str(tmp_path)).collect()}
+    assert got == {k: n for k, n in want.items() if n} and {"thin_content", "missing_image_alt", "heading_hierarchy_invalid", "url_structure_issues", "canonical_mismatch", "hreflang_issues"} <= {t for t, _ in got}
