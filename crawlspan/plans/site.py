@@ -372,14 +372,23 @@ def sitemap_difference(spark: SparkSession, d: str) -> DataFrame:
     return sitefiles.sitemap_difference(sitefiles.sitemap_entries(files), pages)
 
 
+def _crawl_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seeds = read(spark, d, "pages", "page_id", "depth").filter("depth = 0").select(F.col("page_id").alias("key"))
+    return seeds, read(spark, d, "page_links", "source_page_id", "destination_page_id").toDF("src", "dst")
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT source_page_id AS src, destination_page_id AS dst FROM page_links WHERE source_page_id IS NOT NULL AND destination_page_id IS NOT NULL),
     b AS (SELECT page_id AS key, 0 AS depth FROM pages WHERE depth = 0 UNION SELECT dst, b.depth + 1 FROM b JOIN e ON b.key = e.src WHERE b.depth < 3) SELECT key, min(depth) AS depth FROM b GROUP BY 1"""
 )
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
-    seeds = read(spark, d, "pages", "page_id", "depth").filter("depth = 0").select(F.col("page_id").alias("key"))
-    edges = read(spark, d, "page_links", "source_page_id", "destination_page_id").toDF("src", "dst")
-    return crawl.frontier(seeds, edges, max_depth=3)
+    return crawl.frontier(*_crawl_graph(spark, d), max_depth=3)
+
+
+@query()
+def crawl_frontier_deep(spark: SparkSession, d: str) -> DataFrame:
+    """The frontier to the operator's own depth."""
+    return crawl.frontier(*_crawl_graph(spark, d))
 
 
 @query("SELECT * FROM (VALUES ('/a', '/d', 3, false), ('/b', '/d', 2, false), ('/c', '/d', 1, false), ('/x', '/x', 2, true), ('/y', '/y', 2, true), ('/s', '/s', 1, true)) AS t(start, final, hops, loops)")

@@ -129,3 +129,11 @@ def test_issues_of_all_rules_are_counted(spark, tmp_path):
             want[t, severity] = want.get((t, severity), 0) + r[f"is {t}"]
     got = {(r.issue_type, r.severity): r.pages for r in site.issues_by_type_all(spark, str(tmp_path)).collect()}
     assert got == {k: n for k, n in want.items() if n} and {"thin_content", "missing_image_alt", "heading_hierarchy_invalid", "url_structure_issues", "canonical_mismatch", "hreflang_issues"} <= {t for t, _ in got}
+
+
+def test_frontier_reaches_the_default_depth(spark, tmp_path):
+    from crawlspan.plans import site
+
+    spark.createDataFrame([(i, 0 if i == 0 else 1) for i in range(9)], "page_id long, depth int").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, i + 1) for i in range(8)] + [(0, 2)], "source_page_id long, destination_page_id long").write.parquet(f"{tmp_path}/page_links.parquet")
+    assert {tuple(r) for r in site.crawl_frontier_deep(spark, str(tmp_path)).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
