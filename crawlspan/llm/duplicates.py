@@ -60,6 +60,12 @@ def _split(rows: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return rows.join(hot.select("_key"), "_key", "left_semi"), hot, rows.join(hot.select("_key"), "_key", "left_anti"), totals.filter(F.col("_n") < hot_least)
 
 
+def _salted(rows: DataFrame, least: Column) -> DataFrame:
+    """(_key, _r, _n): of each key the smallest value, named _r, and the number of rows, in two levels."""
+    salted = rows.groupBy("_key", F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.lit(SALTS)).alias("_salt")).agg(least, F.count("*").alias("_n"))
+    return salted.groupBy("_key").agg(F.min("_r").alias("_r"), F.sum("_n").alias("_n"))
+
+
 def copies(records: DataFrame, *, group: str, first: str, second: str, id: str) -> DataFrame:
     """(a, b): for each copy b the smallest identifier a of its content, a itself left out.
 
@@ -69,7 +75,8 @@ def copies(records: DataFrame, *, group: str, first: str, second: str, id: str)
     rows = keyed(records.select(group, first, second, F.col(id).alias("_id")).filter("_id IS NOT NULL"), group=group, first=first, second=second)
     rows = rows.select("_key", "_id").persist(StorageLevel.DISK_ONLY)
     totals = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_rep")).filter("_n > 1")
-    hot_rows, hot, rest_rows, rest = _split(rows, totals)
+    hot_rows, _, rest_rows, rest = _split(rows, totals)
+    hot = F.broadcast(_salted(hot_rows, F.min("_id").alias("_r")).select("_key", F.col("_r").alias("_rep")))
     pairs = hot_rows.join(hot, "_key").select("_rep", "_id").unionByName(rest_rows.join(rest, "_key").select("_rep", "_id"))
     return pairs.filter("_rep != _id").select(F.col("_rep").alias("a"), F.col("_id").alias("b")).distinct()
 
@@ -85,6 +92,5 @@ def collapse(records: DataFrame, *, group: str, first: str, second: str, id: str
     totals = rows.groupBy("_key").agg(F.count("*").alias("_n"))
     hot_rows, _, rest_rows, _ = _split(rows, totals)
     least = F.min(F.struct("_id", "_first", "_second", group)).alias("_r")
-    salted = hot_rows.groupBy("_key", F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.lit(SALTS)).alias("_salt")).agg(least, F.count("*").alias("_n"))
-    both = salted.groupBy("_key").agg(F.min("_r").alias("_r"), F.sum("_n").alias("_n")).unionByName(rest_rows.groupBy("_key").agg(least, F.count("*").alias("_n")))
+    both = _salted(hot_rows, least).unionByName(rest_rows.groupBy("_key").agg(least, F.count("*").alias("_n")))
     return both.select(F.col(f"_r.{group}").alias(group), F.col("_r._id").alias(id), F.col("_r._first").alias(first), F.col("_r._second").alias(second), F.col("_n").alias("copies"))

@@ -32,3 +32,12 @@ def test_one_hot_group(spark, monkeypatch):
     got = [tuple(r) for r in D.copies(df, **OPTIONS).collect()]
     assert sorted(got) == sorted([(0, i) for i in range(1, 1000)] + [(i, i + 1) for i in range(1000, 1400, 2)])
     assert sorted(r.copies for r in D.collapse(df, **OPTIONS).collect()) == [2] * 200 + [1000]
+
+
+def test_hot_copies_are_salted(spark, monkeypatch, capsys):
+    monkeypatch.setattr(D, "HOT_LEAST", 5)
+    rows = [(i, 1, "Oak lamp", "A lamp") for i in range(20, 8, -1)] + [(i, 1, "Pan", f"{i // 2}") for i in range(30, 34)]
+    found = D.copies(spark.createDataFrame(rows, "i long, g int, t string, m string"), group="g", first="t", second="m", id="i")
+    found.explain()
+    assert "xxhash64" in capsys.readouterr().out
+    assert {tuple(r) for r in found.collect()} == {(9, i) for i in range(10, 21)} | {(30, 31), (32, 33)}
