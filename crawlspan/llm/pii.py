@@ -5,20 +5,25 @@ again: emails (disguised ones too), street addresses, identity numbers, phone nu
 shape of their kind, and by a word that says so where the shape alone could be an order or a part number. Names count by a word
 that introduces a person, or by the known name parts together with a model of family-name endings that is fitted on them.
 
-Surrogates are keyed: a MAC of an item's normal form picks a replacement of the same kind, script, format, letter case and, for
-given names, class of ending, so that one person stays one person in every document and spelling. Within a document two
-different items never share a surrogate and none equals an item that stands there: a collision takes the next MAC.
-
-Every document is handled where it is read. Only the known name parts are sent to the executors; their number is checked.
+Surrogates are keyed permutations (`Surrogates`): the letters and digits of an item number it within the space of all items of
+its kind, script and format, and a Feistel network with that key permutes the space in one cycle. So nothing stands for itself,
+two items never share a surrogate in any two documents, and every spelling of one item gets the same one, all without any state
+between texts. Names are replaced part by part; a part's first letter alone decides the first letter of its surrogate, so that
+initials agree with names, and a soft ending, which is what the known names tell of gender, stays.
+
+Every document is handled where it is read, by one pass that gives the items with their placeholders and surrogates. Only the
+known name parts are sent to the executors; their number is checked.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -270,103 +275,143 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
 
 
 # --- replacement
-VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvwz"
-SCRIPTS = ((0x0430, 0x044F), (0x03B1, 0x03C9), (0x0621, 0x063A), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x4FFF))
+ROUNDS = 8
+#: Characters that are numbered at once; a longer item is permuted piece by piece, each piece under what came before it.
+PIECE = 40
+#: Surrogates that a worker remembers; only speed depends on it.
+REMEMBERED = 100_000
+# Letters that stand for each other, so that a surrogate can be spoken like the item; other letters stand for those
+# of the same case and block of 256.
+ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöøùúûü", "çñßýÿðþšžčćřłśźż")
+SOFT = "aeiy"
+WORD_PART = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> tuple[str, int]:
+    """The letters that may stand for c, a letter or digit in lower case, and c's place among them."""
+    for letters in ALPHABETS:
+        if c in letters:
+            return letters, letters.index(c)
+    low, kind = ord(c) >> 8 << 8, unicodedata.category(c)
+    letters = "".join(x for x in map(chr, range(low, low + 256)) if unicodedata.category(x) == kind and x == x.lower() and not any(x in a for a in ALPHABETS))
+    return letters, letters.index(c)
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 class Surrogates:
-    """Keyed replacements of one document; `names` gives the pools of name parts."""
-
-    def __init__(self, key: bytes, names: Names, present: set[str]):
-        self.key, self.present = key, {p.casefold() for p in present}
-        self.taken: dict[str, tuple[str, str]] = {}
-        self.family = sorted(names.family - EVERYDAY)
-        given = sorted(names.given - EVERYDAY)
-        self.given = {soft: [g for g in given if (g[-1] in "aeiy") == soft] or given for soft in (True, False)}
-
-    def _bytes(self, kind: str, normal: str, n: int) -> Iterator[int]:
-        block = 0
+    """Keyed one-to-one replacements, the same in every text and process that has the key."""
+
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("surrogates need a key")
+        self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.known: dict[tuple[str, str], str] = {}
+
+    def _mix(self, tag: str, x: int, n: int, rounds) -> int:
+        """A Feistel network over two parts of x, walked on until it is back below n; `rounds` in reverse undo it."""
+        a = isqrt(n - 1) + 1
+        b = -(-n // a)
+        sign = 1 if rounds[0] == 0 else -1
         while True:
-            yield from hmac.new(self.key, f"{kind}|{n}|{block}|{normal}".encode(), hashlib.sha256).digest()
-            block += 1
-
-    def _shape(self, text: str, stream: Iterator[int], keep: re.Pattern | None = None) -> str:
-        """Digits become digits and letters letters of the same script and case; the rest, and what `keep` matches, stays."""
-        fixed = {i for m in keep.finditer(text) for i in range(*m.span())} if keep else set()
-        out = []
-        for i, c in enumerate(text):
-            if i in fixed or not c.isalnum():
-                out.append(c)
-            elif c.isdigit():
-                out.append(str(next(stream) % 10))
-            else:
-                low = c.lower()
-                script = next((s for s in SCRIPTS if s[0] <= ord(low[0]) <= s[1]), None)
-                new = chr(script[0] + next(stream) % (script[1] - script[0] + 1)) if script else (VOWELS[next(stream) % 5] if low in "aeiouyäöüéèà" else CONSONANTS[next(stream) % len(CONSONANTS)])
-                out.append(new.upper() if c != low else new)
+            right, left = divmod(x, a)
+            for r in rounds:
+                f = int.from_bytes(hashlib.blake2b(f"{tag}|{r}|{right if r % 2 == 0 else left}".encode("utf-8", "surrogatepass"), key=self.key, digest_size=32).digest(), "big")
+                if r % 2 == 0:
+                    left = (left + sign * f) % a
+                else:
+                    right = (right + sign * f) % b
+            x = right * a + left
+            if x < n:
+                return x
+
+    def cycle(self, tag: str, x: int, n: int) -> int:
+        """The successor of x on a keyed cycle through all of range(n): one to one, and never x itself if n > 1."""
+        if n < 2:
+            return x
+        return self._mix(tag, (self._mix(tag, x, n, range(ROUNDS)) + 1) % n, n, range(ROUNDS - 1, -1, -1))
+
+    def _same_form(self, tag: str, text: str, fixed: set[int]) -> str:
+        """`text`, in lower case, with other letters and digits of the same alphabets in the same places."""
+        out = list(text)
+        places = [i for i, c in enumerate(text) if i not in fixed and c.isalnum()]
+        form = "".join("*" if i in fixed or not c.isalnum() else alphabet(c)[0][0] for i, c in enumerate(text))
+        form += "|" + "".join(c for i, c in enumerate(text) if i in fixed or not c.isalnum())
+        for k in range(0, len(places), PIECE):
+            piece, number, space = places[k : k + PIECE], 0, 1
+            for i in piece:
+                letters, at = alphabet(text[i])
+                number, space = number + at * space, space * len(letters)
+            number = self.cycle(f"{tag}|{form}|{k}|{text[: piece[0]] if k else ''}", number, space)
+            for i in piece:
+                letters, _ = alphabet(text[i])
+                number, at = divmod(number, len(letters))
+                out[i] = letters[at]
         return "".join(out)
 
-    def _part(self, token: str, family: bool, n: int) -> str:
-        low = token.casefold()
-        stream = self._bytes("family" if family else "given", low, n)
-        pool = self.family if family else self.given[low[-1] in "aeiy"]
-        pick = pool[(next(stream) << 16 | next(stream) << 8 | next(stream)) % len(pool)] if pool else self._shape(low, stream)
-        return pick.upper() if token.isupper() and len(token) > 1 else pick[0].upper() + pick[1:]
+    def part(self, name: str) -> str:
+        """A part of a name, in lower case. The first letter's surrogate depends on that letter alone; a soft ending stays."""
+        first = self._same_form("initial", name[0], set())
+        rest = name[1:]
+        return first + (self._same_form(f"name|{name[0]}", rest, {len(rest) - 1} if len(rest) > 1 and rest[-1] in SOFT else set()) if rest else "")
 
-    def _make(self, kind: str, text: str, normal: str, n: int) -> str:
-        if kind == "person_name":
-            comma = "," in text
-            tokens = re.split(rf"([^{L}'’]+)", text)
-            words = [i for i, t in enumerate(tokens) if t and re.match(rf"[{L}]", t)]
-            capital = [i for i in words if tokens[i][0].isupper()]
-            cut = next((i for i in capital if "," in "".join(tokens[i + 1 : i + 2])), None)
-            for place, i in enumerate(capital):
-                t = tokens[i]
-                if len(t) == 1:
-                    tokens[i] = chr(65 + next(self._bytes("initial", t, n)) % 26)
-                else:
-                    family = (i <= cut) if comma and cut is not None else place > 0
-                    tokens[i] = self._part(t, family, n)
-            return "".join(tokens)
-        stream = self._bytes(kind, normal, n)
-        if kind == "email":
-            return self._shape(text, stream, re.compile(rf"{AT_WORD}|\s+at\s+|{DOT_WORD}|[{L}]+$", re.I))
-        if kind == "address":
-            return self._shape(text, stream, re.compile(r"(?i)straße|strasse|str\.|weg\b|gasse|platz|straat|laan|dreef|werf|\b(?:street|road|avenue|lane|drive|court|boulevard|st|rd|ave|blvd|flat|apt|unit|suite|rue|impasse|chemin|allée|bis|ter|calle|avenida|plaza|nº|des|du|de|la|los|las|del|am)\b"))
-        if kind == "phone":
-            return self._shape(text, stream, re.compile(r"^\+\d{1,2}|^00\d{2}|\(0\)"))
-        return self._shape(text, stream)
+    def _new(self, kind: str, normal: str) -> str:
+        keep = KEPT.get(kind)
+        return self._same_form(kind, normal, {i for m in keep.finditer(normal) for i in range(*m.span())} if keep else set())
 
     def replace(self, kind: str, text: str) -> str:
-        normal = normal_form(kind, text)
-        n = 0
-        while True:
-            new = self._make(kind, text, normal, n)
-            owner = self.taken.get(new.casefold())
-            if new.casefold() not in self.present and (owner is None or owner == (kind, normal)):
-                self.taken[new.casefold()] = (kind, normal)
-                return new
-            n += 1
-            if n > 1000:  # an item of a character or two
-                return new
+        """The item's surrogate in the item's own spelling."""
+        low = lowered(text)
+        if kind == "person_name":
+            new = WORD_PART.sub(lambda m: m.group() if m.group() in PARTICLES and text[m.start()].islower() else self._remembered("part", m.group()), low)
+        else:
+            letters = iter(c for c in self._remembered(kind, normal_form(kind, text)) if c.isalnum())
+            kept = {i for m in SPELLING[kind].finditer(low) for i in range(*m.span())} if kind in SPELLING else set()
+            new = "".join(next(letters, c) if c.isalnum() and i not in kept else c for i, c in enumerate(low))
+        return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for c, n in zip(text, new, strict=True))
+
+    def _remembered(self, kind: str, normal: str) -> str:
+        found = self.known.get((kind, normal))
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[kind, normal] = self.part(normal) if kind == "part" else self._new(kind, normal)
+        return found
+
+
+PARTICLES = frozenset("van von vom zu de la del della di da dos du le den der ten ter af av al el bin".split())
+# What of an item's normal form stays: the domain's ending, the words of a street, a country code.
+KEPT = {
+    "email": re.compile(r"\.[^.@]+$"),
+    "address": re.compile(r"(?:straße|strasse|str|weg|gasse|platz|straat|laan|dreef|werf)(?= |$)|\b(?:street|road|avenue|lane|drive|court|boulevard|place|square|way|hill|st|rd|ave|blvd|flat|apt|unit|suite|room|rue|impasse|chemin|allée|quai|bis|ter|calle|avenida|plaza|paseo|nº|des|du|de|la|los|las|del|am|an|im|in|der|zum|zur)\b"),
+    "phone": re.compile(r"^\+\d{1,2}|^00\d{2}"),
+}
+# What spellings add to the normal form.
+SPELLING = {"email": re.compile(rf"{AT_WORD}|\s+at\s+|{DOT_WORD}", re.I), "phone": re.compile(r"\(0\)")}
 
 
 def normal_form(kind: str, text: str) -> str:
     """What spellings of one item have in common."""
-    low = text.casefold()
+    low = lowered(text)
     if kind == "email":
         return re.sub(r"\s+", "", re.sub(DOT_WORD, ".", re.sub(rf"{AT_WORD}|\s+at\s+", "@", low)))
     if kind in ("phone", "id_number"):
-        return re.sub(r"[^0-9a-z+]", "", low.replace("(0)", ""))
+        return "".join(c for c in low.replace("(0)", "") if c.isalnum() or c == "+")
     if kind == "person_name":
-        return " ".join(sorted(re.findall(rf"[{L}]+", low)))
-    return re.sub(r"[^\w]+", " ", low).strip()
+        return " ".join(sorted(WORD_PART.findall(low)))
+    return re.sub(r"[^\w]+|_", " ", low).strip()
 
 
-def rewritten(text: str, found: list[tuple[int, int, str]], replacement) -> str:
+def rewritten(text: str, new: list[tuple[int, int, str]]) -> str:
+    """The text with (from, to, text) put in."""
     out, at = [], 0
-    for a, b, kind in found:
-        out += [text[at:a], replacement(kind, text[a:b])]
+    for a, b, x in new:
+        out += [text[at:a], x]
         at = b
     return "".join(out) + text[at:]
 
@@ -406,42 +451,56 @@ def _over(texts: DataFrame, id: str, text: str, schema: str, types: list, each)
     return texts.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(of, schema)
 
 
-def entities(texts: DataFrame, names: DataFrame, *, id: str, text: str) -> DataFrame:
-    """(id, kind, found): every item as it is written, once for each text. Null and empty texts give none."""
+def _replacements(text: str, names: Names, surrogates: Surrogates) -> list[tuple[int, int, str, str, str]]:
+    """(from, to, kind, placeholder, surrogate) of every item, in order. Placeholders are numbered by item within the text."""
+    numbers: dict[tuple[str, str], int] = {}
+    counts: Counter[str] = Counter()
+    out = []
+    for a, b, kind in find(text, names):
+        item = text[a:b]
+        which = (kind, normal_form(kind, item))
+        if which not in numbers:
+            counts[kind] += 1
+            numbers[which] = counts[kind]
+        out.append((a, b, kind, f"[{kind.upper()}_{numbers[which]}]", surrogates.replace(kind, item)))
+    return out
+
+
+def items(texts: DataFrame, names: DataFrame, *, id: str, text: str, key: str) -> DataFrame:
+    """(id, kind, found, placeholder, surrogate): every item as it is written, once for each row and spelling, with what stands
+    for it. Null and empty texts give none. `key` is secret and must be the same wherever surrogates shall agree."""
     known = texts.sparkSession.sparkContext.broadcast(known_names(names))
 
     def each():
-        parts = Names(known.value)
+        parts, surrogates = Names(known.value), Surrogates(key.encode())
 
         def rows(k, t):
-            return {(k, kind, t[a:b]) for a, b, kind in find(t, parts)} if t else ()
+            return {(k, kind, t[a:b], new, other) for a, b, kind, new, other in _replacements(t, parts, surrogates)} if t else ()
 
         return rows
 
     kind = texts.schema[id].dataType.simpleString()
-    return _over(texts, id, text, f"_id {kind}, kind string, found string", [None, pa.string(), pa.string()], each).distinct().withColumnRenamed("_id", id)
+    return _over(texts, id, text, f"_id {kind}, kind string, found string, placeholder string, surrogate string", [None, *[pa.string()] * 4], each).withColumnRenamed("_id", id)
+
 
+def entities(texts: DataFrame, names: DataFrame, *, id: str, text: str, key: str) -> DataFrame:
+    """(id, kind, found): the items of `items`, once for each text."""
+    return items(texts, names, id=id, text=text, key=key).select(id, "kind", "found").distinct()
 
-def redacted(texts: DataFrame, names: DataFrame, *, id: str, text: str, key: str = "crawlspan") -> DataFrame:
+
+def redacted(texts: DataFrame, names: DataFrame, *, id: str, text: str, key: str) -> DataFrame:
     """(id, masked, pseudonymous): the text with placeholders such as [EMAIL_1], numbered by item within the text, and with
     keyed surrogates. Null stays null, an empty text empty; a text without items is unchanged. One row for each input row."""
     known = texts.sparkSession.sparkContext.broadcast(known_names(names))
 
     def each():
-        parts = Names(known.value)
+        parts, surrogates = Names(known.value), Surrogates(key.encode())
 
         def rows(k, t):
             if not t:
                 return [(k, t, t)]
-            found = find(t, parts)
-            numbers: dict[tuple[str, str], int] = {}
-
-            def placeholder(kind: str, item: str) -> str:
-                of_kind = sum(x[0] == kind for x in numbers)
-                return f"[{kind.upper()}_{numbers.setdefault((kind, normal_form(kind, item)), of_kind + 1)}]"
-
-            surrogates = Surrogates(key.encode(), parts, {t[a:b] for a, b, _ in found})
-            return [(k, rewritten(t, found, placeholder), rewritten(t, found, surrogates.replace))]
+            found = _replacements(t, parts, surrogates)
+            return [(k, rewritten(t, [(a, b, new) for a, b, _, new, _ in found]), rewritten(t, [(a, b, other) for a, b, _, _, other in found]))]
 
         return rows
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +75,19 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 TEXT = {"id": "doc_id", "text": "text"}
 
 
+def _key(spark: SparkSession) -> str:
+    """The session's secret for surrogates; without one, a new one, so that surrogates agree within this query only."""
+    return spark.conf.get("spark.crawlspan.surrogates.key", None) or secrets.token_hex(32)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information in the documents, as it is written."""
-    return pii.entities(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT)
+    return pii.entities(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT, key=_key(spark))
 
 
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     """The documents with typed placeholders, and with keyed surrogates, in the place of personal information."""
-    return pii.redacted(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT)
+    return pii.redacted(evenly(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "name_list"), **TEXT, key=_key(spark))
 
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans, p10_found, p10_texts)}

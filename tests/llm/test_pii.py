@@ -30,23 +30,65 @@ def test_found(text, want):
 def test_frames(spark):
     rows = [(1, CASES[0][0] + " " + CASES[0][0], "c"), (2, None, "c"), (3, "", "c"), (4, "nothing", "c"), (5, "x " * 200_000 + "SSN: 927-94-2823", "c"), (1, "SSN: 927-94-2823", "c")]
     df, names = spark.createDataFrame(rows, "k long, t string, kind string"), spark.createDataFrame(PARTS + [(None, "given")], "name_part string, part_kind string")
-    got = sorted(tuple(r) for r in pii.entities(df, names, id="k", text="t").collect())
+    got = sorted(tuple(r) for r in pii.entities(df, names, id="k", text="t", key="s").collect())
     assert got == [(1, "email", "info (at) shop (dot) test"), (1, "email", "jo.do+x@mx1.site.co.example"), (1, "id_number", "927-94-2823"), (5, "id_number", "927-94-2823")]
-    texts = {r.k: r for r in pii.redacted(df.filter("k != 1"), names, id="k", text="t").collect()}
+    texts = {r.k: r for r in pii.redacted(df.filter("k != 1"), names, id="k", text="t", key="s").collect()}
     assert texts[2].masked is None and texts[3].masked == "" and texts[4].pseudonymous == "nothing" and texts[5].masked.endswith("SSN: [ID_NUMBER_1]")
-    assert pii.entities(df.limit(0), names, id="k", text="t").collect() == []
-    assert pii.entities(df, names.limit(0), id="k", text="t").count() == 4
+    assert pii.entities(df.limit(0), names, id="k", text="t", key="s").collect() == []
+    assert pii.entities(df, names.limit(0), id="k", text="t", key="s").count() == 4
 
 
 def test_surrogates_keep_form_and_identity():
-    text = "Written by Ilka Wexacott. cc Wexacott, Ilka Mail jo@site.test or jo (at) site (dot) test. Tel. +49 (0)30 23125-977. cc ROSE LINDSTRÖM"
-    found = pii.find(text, NAMES)
-    make = lambda key: pii.Surrogates(key, NAMES, {text[a:b] for a, b, _ in found})
-    one = make(b"k")
+    text = "Written by Ilka Wexacott. cc Wexacott, Ilka Mail jo@site.test or jo (at) site (dot) test. Tel. +49 (0)30 23125-977. cc ROSE LINDSTRÖM and I. Wexacott"
+    found = [*pii.find(text, NAMES), (text.index("I. W"), len(text), "person_name")]
+    one = pii.Surrogates(b"k")
     new = {text[a:b]: one.replace(kind, text[a:b]) for a, b, kind in found}
     given, family = new["Ilka Wexacott"].split()
-    assert new["Wexacott, Ilka"] == f"{family}, {given}" and family.casefold() in NAMES.family
+    assert new["Wexacott, Ilka"] == f"{family}, {given}" and new["I. Wexacott"] == f"{given[0]}. {family}" and given.endswith("a")
     assert new["ROSE LINDSTRÖM"].isupper() and new["+49 (0)30 23125-977"].startswith("+49 (0)") and len(new["+49 (0)30 23125-977"]) == 19
     assert new["jo@site.test"].replace("@", " (at) ").replace(".", " (dot) ") == new["jo (at) site (dot) test"]
-    assert len(set(new.values())) == len(new) and not set(new) & set(new.values())
-    assert pii.rewritten(text, found, make(b"k").replace) == pii.rewritten(text, found, make(b"k").replace) != pii.rewritten(text, found, make(b"other").replace)
+    parts = {w.casefold() for x in new for w in pii.WORD_PART.findall(x) if len(w) > 1}
+    assert not parts & {w.casefold() for k, x in new.items() if "@" not in k and "(at)" not in k for w in pii.WORD_PART.findall(x)}
+    whole = lambda s: pii.rewritten(text, [(a, b, s.replace(kind, text[a:b])) for a, b, kind in sorted(found)])
+    assert whole(one) == whole(pii.Surrogates(b"k")) != whole(pii.Surrogates(b"other"))
+    with pytest.raises(ValueError, match="key"):
+        pii.Surrogates(b"")
+
+
+def test_surrogates_are_one_to_one_over_all_texts():
+    surrogates = pii.Surrogates(b"k")
+    many = [("person_name", f"{g} {f}") for g in ("Anna", "Anne", "Ana", "Ilka", "Ilke", "Анна", "Ελένη", "Zoë", "花子") for f in ("Novak", "Jansen", "Janson", "Новак", "O'Neill", "Lindström", "Wexacott")]
+    many += [("id_number", f"{i:03d}-00-0001") for i in range(500)] + [("phone", f"+49 30 {i:04d}") for i in range(500)] + [("id_number", str(i)) for i in range(10)]
+    many += [("email", f"a{i}@b.test") for i in range(300)] + [("address", f"{i} Hollnick Lane") for i in range(100)] + [("email", "x" * 300 + f"{i}@b.test") for i in range(20)]
+    new = {x: surrogates.replace(*x) for x in many}
+    assert len({(k, v) for (k, _), v in new.items()}) == len(many)
+    assert all(v.casefold() != text.casefold() and len(v) == len(text) for (_, text), v in new.items())
+    assert all(v.endswith(" Lane") for (k, _), v in new.items() if k == "address") and all("\u0400" <= c <= "\u04ff" for c in new["person_name", "Анна Новак"].replace(" ", ""))
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 10, 101, 676])
+def test_cycle_goes_through_all(n):
+    surrogates, x, seen = pii.Surrogates(b"k"), 0, []
+    for _ in range(n):
+        seen.append(x)
+        x = surrogates.cycle("t", x, n)
+    assert x == 0 and sorted(seen) == list(range(n))
+
+
+def test_items_are_those_of_the_texts(spark):
+    texts = spark.createDataFrame([(i, f"cc Ilka Wexacott{'' if i % 2 else ' jo@site.test'} cc Tobrin Velacott") for i in range(6)], "k long, t string")
+    names = spark.createDataFrame(PARTS, "name_part string, part_kind string")
+    rows = pii.items(texts, names, id="k", text="t", key="s").collect()
+    assert {(r.kind, r.found) for r in rows} == {("person_name", "Ilka Wexacott"), ("person_name", "Tobrin Velacott"), ("email", "jo@site.test")}
+    by = {}
+    for r in rows:
+        by.setdefault(r.found, set()).add(r.surrogate)
+    assert all(len(v) == 1 for v in by.values()) and len({*map(min, by.values())}) == 3
+    whole = {r.k: r for r in pii.redacted(texts, names, id="k", text="t", key="s").collect()}
+    assert all(r.surrogate in whole[r.k].pseudonymous and r.placeholder in whole[r.k].masked and r.found not in whole[r.k].pseudonymous for r in rows)
+    assert whole[1].masked == "cc [PERSON_NAME_1] cc [PERSON_NAME_2]"
+
+
+def test_one_long_line():
+    text = "Velacott, Ilka; " * 20_000
+    assert len(pii.find(text, NAMES)) == 20_000
