@@ -47,11 +47,12 @@ DOT_WORD = r"(?:\s*[\(\[\{]\s*(?:dot|punkt|point|punto|punt)\s*[\)\]\}]\s*|\s+do
 DOT = rf"(?:\.|{DOT_WORD})"
 AT_WORD = r"\s*[\(\[\{]\s*(?:at|ät|arroba|arobase|@)\s*[\)\]\}]\s*"
 BEFORE_EMAIL, AFTER_EMAIL = rf"(?<![{L}0-9._%+\-@/])", rf"(?![{L}0-9_\-])"
-# Each with a sign without which a text can't hold it.
+# Each with what a text must have to hold it: one of the texts, in lower case, and the pattern.
+AT_SIGN = re.compile(r"[\(\[\{]\s*(?:at|ät|arroba|arobase|@)\s*[\)\]\}]", re.I)
 EMAILS = [
-    (re.compile("@"), re.compile(rf"{BEFORE_EMAIL}{LOCAL}(?:@|\s@\s){LABEL}(?:\.{LABEL})*\.[{L}]{{2,}}{AFTER_EMAIL}")),
-    (re.compile(AT_WORD, re.I), re.compile(rf"{BEFORE_EMAIL}{LOCAL}{AT_WORD}{LABEL}(?:{DOT}{LABEL})*{DOT}[{L}]{{2,}}{AFTER_EMAIL}", re.I)),
-    (re.compile(r"\sat\s+\S+\s+dot\s", re.I), re.compile(rf"{BEFORE_EMAIL}{LOCAL}\s+at\s+{LABEL}(?:{DOT_WORD}{LABEL})*{DOT_WORD}[{L}]{{2,}}{AFTER_EMAIL}", re.I)),
+    (("@",), None, re.compile(rf"{BEFORE_EMAIL}{LOCAL}(?:@|\s@\s){LABEL}(?:\.{LABEL})*\.[{L}]{{2,}}{AFTER_EMAIL}")),
+    (("(", "[", "{"), AT_SIGN, re.compile(rf"{BEFORE_EMAIL}{LOCAL}{AT_WORD}{LABEL}(?:{DOT}{LABEL})*{DOT}[{L}]{{2,}}{AFTER_EMAIL}", re.I)),
+    (("dot", "punkt", "point", "punt"), re.compile(r"\sat\s", re.I), re.compile(rf"{BEFORE_EMAIL}{LOCAL}\s+at\s+{LABEL}(?:{DOT_WORD}{LABEL})*{DOT_WORD}[{L}]{{2,}}{AFTER_EMAIL}", re.I)),
 ]
 # Endings of file names, which are no domains.
 FILES = re.compile(r"\.(?:png|jpe?g|gif|webp|svg|avif|ico|css|js|json|html?|php|pdf|zip|gz|xml|txt|md|ya?ml|mp4|woff2?)$", re.I)
@@ -61,13 +62,20 @@ UNIT = r"(?:(?:\s*,\s*|\s+)(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Room|No\.?
 CAP = rf"[A-ZÀ-ÖØ-Þ][{L}'’\-]*"
 NUMBER = r"\d{1,5}(?:\s?[-–/]\s?\d{1,5})?(?:[a-z](?!\w)|\s[a-h](?=\s(?:in|and|und|en|et|y)\s|\s*[,;.()\n]|\s*$|\s+[A-ZÀ-Þ]))?"
 EN_TYPE = r"(?:Street|Road|Avenue|Lane|Drive|Court|Boulevard|Close|Place|Square|Terrace|Crescent|Gardens|Grove|Hill|Way|Mews|Parade|Row|Walk|Quay|(?:St|Rd|Ave|Ln|Dr|Ct|Blvd|Pl|Sq|Terr|Cres)(?:\.(?!\w)|(?![\w.])|(?=\.)))"
+# Of each form's words a text must have one; the forms name the same words.
+STREETS_EN = ("Street", "Road", "Avenue", "Lane", "Drive", "Court", "Boulevard", "Close", "Place", "Square", "Terrace", "Crescent", "Gardens", "Grove", "Hill", "Way", "Mews", "Parade", "Row", "Walk", "Quay", "St", "Rd", "Ave", "Ln", "Dr", "Ct", "Blvd", "Pl", "Sq", "Terr", "Cres")
+STREETS_FR = ("rue", "avenue", "boulevard", "impasse", "chemin", "allée", "place", "quai", "cours", "route", "passage", "square", "sentier", "faubourg")
+STREETS_ES = ("Calle", "C/", "Avenida", "Avda", "Av.", "Plaza", "Pza", "Paseo", "Camino", "Ronda", "Travesía", "Carrera", "Glorieta")
+STREETS_DE = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "pfad", "chaussee", "straat", "laan", "dreef", "werf", "plein", "gracht", "kade", "singel", "steeg", "hof", "dijk", "pad", "markt")
+STREETS_WORDS = ("Straße", "Strasse", "Str.", "Weg", "Gasse", "Platz", "Allee", "Ufer", "Damm", "Ring", "Laan", "Plein", "Kade")
+STREETS_AT = ("Am", "An", "Im", "In", "Zum", "Zur", "Auf", "Unter", "Hinter", "Vor")
 ADDRESSES = [
-    re.compile(rf"{EDGE}\d{{1,5}}(?:[a-z]|\s?[-–]\s?\d{{1,5}})?\s+(?:{CAP}\s+){{1,3}}{EN_TYPE}(?![\w])(?!\s+[A-Z][a-z]+s\s){UNIT}"),
-    re.compile(rf"{EDGE}\d{{1,5}}(?:\s?(?:bis|ter|quater))?\s*,?\s+(?:rue|avenue|boulevard|impasse|chemin|allée|place|quai|cours|route|passage|square|sentier|ruelle|faubourg)\s+(?:(?:de\s+la|de\s+l['’]|des|du|de|d['’])\s*)?{CAP}(?:\s+{CAP}(?!\s*[:.]))?"),
-    re.compile(rf"{EDGE}(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda|Travesía|Carrera|Glorieta)\s+(?:(?:de\s+(?:los|las|la)|del|de)\s+)?{CAP}(?:\s+(?:(?:de\s+(?:los|las|la)|del|de)\s+)?{CAP})?\s*,?\s+(?:(?:nº|n\.º|n°|núm\.?|num\.)\s*)?{NUMBER}{UNIT}"),
-    re.compile(rf"{EDGE}(?:{CAP}-)?[A-ZÄÖÜ][{L}]{{2,}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee|straat|laan|dreef|werf|plein|gracht|kade|singel|steeg|hof|dijk|pad|markt)\s+{NUMBER}{UNIT}"),
-    re.compile(rf"{EDGE}(?:[A-ZÄÖÜ][{L}]+(?:er|sche)?\s+)(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Laan|Plein|Kade)\s+{NUMBER}{UNIT}"),
-    re.compile(rf"{EDGE}(?:Am|An\s+de[rn]|Im|In\s+de[rn]|Zum|Zur|Auf\s+de[rmn]|Unter\s+den|Hinter\s+de[rmn]|Vor\s+de[rmn])\s+(?:[A-ZÄÖÜ][{L}]+(?:en|er|e)\s+)?[A-ZÄÖÜ][{L}]{{3,}}\s+{NUMBER}{UNIT}"),
+    (STREETS_EN, re.compile(rf"{EDGE}\d{{1,5}}(?:[a-z]|\s?[-–]\s?\d{{1,5}})?\s+(?:{CAP}\s+){{1,3}}{EN_TYPE}(?![\w])(?!\s+[A-Z][a-z]+s\s){UNIT}")),
+    (STREETS_FR, re.compile(rf"{EDGE}\d{{1,5}}(?:\s?(?:bis|ter|quater))?\s*,?\s+(?:rue|avenue|boulevard|impasse|chemin|allée|place|quai|cours|route|passage|square|sentier|ruelle|faubourg)\s+(?:(?:de\s+la|de\s+l['’]|des|du|de|d['’])\s*)?{CAP}(?:\s+{CAP}(?!\s*[:.]))?")),
+    (STREETS_ES, re.compile(rf"{EDGE}(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda|Travesía|Carrera|Glorieta)\s+(?:(?:de\s+(?:los|las|la)|del|de)\s+)?{CAP}(?:\s+(?:(?:de\s+(?:los|las|la)|del|de)\s+)?{CAP})?\s*,?\s+(?:(?:nº|n\.º|n°|núm\.?|num\.)\s*)?{NUMBER}{UNIT}")),
+    (STREETS_DE, re.compile(rf"{EDGE}(?:{CAP}-)?[A-ZÄÖÜ][{L}]{{2,}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee|straat|laan|dreef|werf|plein|gracht|kade|singel|steeg|hof|dijk|pad|markt)\s+{NUMBER}{UNIT}")),
+    (STREETS_WORDS, re.compile(rf"{EDGE}(?:[A-ZÄÖÜ][{L}]+(?:er|sche)?\s+)(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Laan|Plein|Kade)\s+{NUMBER}{UNIT}")),
+    (STREETS_AT, re.compile(rf"{EDGE}(?:Am|An\s+de[rn]|Im|In\s+de[rn]|Zum|Zur|Auf\s+de[rmn]|Unter\s+den|Hinter\s+de[rmn]|Vor\s+de[rmn])\s+(?:[A-ZÄÖÜ][{L}]+(?:en|er|e)\s+)?[A-ZÄÖÜ][{L}]{{3,}}\s+{NUMBER}{UNIT}")),
 ]
 # The last form is a street only where something says so.
 ADDRESS_SAID = re.compile(r"(?:address|adresse|anschrift|dirección|adres|lieferung an|visit us at|went to|live at|moved to|pick-up|ship to|deliver(?:ed)? to|wohne|besuchen sie uns|abholung)\s*:?\s*$", re.I)
@@ -89,6 +97,11 @@ IDS = [
 ]
 
 IDS = [(shape, said and re.compile(said, re.I)) for shape, said in IDS]
+# What every shape of a number has: five digits with a sign between two of them at most, or eight letters and digits (the last
+# shape); a phone number has nine digits with few signs between.
+DIGIT, FIVE, EIGHT, NINE = re.compile(r"\d"), re.compile(r"\d(?:[\s/\-]?\d){4}"), re.compile(r"[A-Z0-9]{8}"), re.compile(r"\d(?:\D{0,5}\d){8}")
+BREAK = re.compile(r"[\n\x00]|[.!?]\s(?=[A-Z])|\d{4,}|\d[\d\s\-]{4,}\d")
+THEN = re.compile(r"\s+(?:is|was|=)\s[^\d\n.!?]{0,30}")
 
 # --- phone numbers
 G = r"[\s.\-]?"
@@ -123,6 +136,8 @@ PERSON = re.compile(rf"(?<![{L}0-9_@/.\-])(?:{FULL} +(?:{INITIAL})?|{INITIAL}){P
 PERSON_BACK = re.compile(rf"(?<![{L}0-9_@/.\-])(?P<f>{PARTICLE}?{FULL}), +(?P<g>{FULL}(?: +[A-ZÀ-ÖØ-Þ]\.)?|[A-ZÀ-ÖØ-Þ]\.)(?![{L}0-9_])")
 # Where a name may begin: two capitalised words, an initial, or a word and a comma.
 CANDIDATE = re.compile(rf"(?<![{L}0-9_@/.\-])(?:(?:van|von|de|del|di|da|du|le|la|den|ter|ten)(?: +de[nr]?| +la)? +)?[A-ZÀ-ÖØ-Þ](?:\. ?|[{L}'’\-]*,? +)(?:[A-ZÀ-ÖØ-Þ]\. ?)*(?:(?:van|von|vom|zu|de|del|della|di|da|dos|du|le|la|den|der|ten|ter|af|av|al|el|bin) +){{0,2}}[A-ZÀ-ÖØ-Þ]")
+LETTER, AFTER_GAP = re.compile(rf"[{L}0-9]"), re.compile(rf"[^{L}0-9\n]*")
+OPENS = re.compile(r"(?:^|[.!?:;\n\x00]\s*)$")
 TOKEN = re.compile(rf"[{L}0-9'’]+[.\-]?,? *|.", re.S)
 # Words that introduce a person; a title isn't part of the name.
 INTRODUCED = re.compile(
@@ -177,15 +192,20 @@ def _mask(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    for sign, form in EMAILS:
-        if sign.search(text):
+    low = text.lower()
+    for signs, more, form in EMAILS:
+        if any(x in low for x in signs) and (more is None or more.search(text)):
             for m in form.finditer(text):
                 if not FILES.search(m.group()):
                     yield m.span()
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for i, p in enumerate(ADDRESSES):
+    if not DIGIT.search(text):
+        return
+    for i, (words, p) in enumerate(ADDRESSES):
+        if not any(w in text for w in words):
+            continue
         for m in p.finditer(text):
             a, b = m.span()
             if i >= 4 and not (ADDRESS_SAID.search(text[max(0, a - 30) : a]) or POSTCODE.match(text, b)):
@@ -194,19 +214,22 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int]]:
-    for shape, said in IDS:
-        if said is None:
-            yield from (m.span() for m in shape.finditer(text))
-        elif said.search(text):
-            for m in shape.finditer(text):
-                # The explaining word belongs to the same sentence, with no other number in between; or it follows at once.
-                before = re.split(r"[\n\x00]|[.!?]\s(?=[A-Z])|\d{4,}|\d[\d\s\-]{4,}\d", text[max(0, m.start() - NEAR) : m.start()])[-1]
-                after = re.match(r"\s+(?:is|was|=)\s[^\d\n.!?]{0,30}", text[m.end() : m.end() + 40])
-                if said.search(before) or (after and said.search(after.group())):
-                    yield m.span()
+    five = FIVE.search(text)
+    for shape, said in IDS if five else IDS[-1:] if EIGHT.search(text) else ():
+        for m in shape.finditer(text):
+            if said is None:
+                yield m.span()
+                continue
+            # The explaining word belongs to the same sentence, with no other number in between; or it follows at once.
+            before = BREAK.split(text[max(0, m.start() - NEAR) : m.start()])[-1]
+            after = THEN.match(text[m.end() : m.end() + 40])
+            if said.search(before) or (after and said.search(after.group())):
+                yield m.span()
 
 
 def _phones(text: str) -> Iterator[tuple[int, int]]:
+    if not NINE.search(text):
+        return
     for m in PHONES.finditer(text):
         if 9 <= sum(c.isdigit() for c in m.group()) <= 15 and not NOT_PHONE.search(text[max(0, m.start() - 24) : m.start()]):
             yield m.span()
@@ -229,6 +252,17 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int]]:
             at = max(TOKEN.match(text, start).end(), start + 1)
 
 
+def _alone(text: str, a: int, b: int) -> bool:
+    """Whether the line of text[a:b] has no other letter or digit; looks no further than the next one."""
+    a -= 1
+    while a >= 0 and text[a] != "\n":
+        if LETTER.match(text, a):
+            return False
+        a -= 1
+    m = AFTER_GAP.match(text, b)
+    return m.end() == len(text) or text[m.end()] == "\n"
+
+
 def _is_person(text: str, m: re.Match, names: Names) -> bool:
     a, b = m.span()
     if NO_PERSON.match(text, b):
@@ -242,9 +276,7 @@ def _is_person(text: str, m: re.Match, names: Names) -> bool:
         given, family = words[0], words[-1]
         if given.casefold() in NO_NAME or family.casefold() in NO_NAME:
             return False
-    before, line_before = text[max(0, a - 40) : a], text[text.rfind("\n", 0, a) + 1 : a]
-    line_after = text[b : (text.find("\n", b) + 1 or len(text) + 1) - 1]
-    alone = not re.search(rf"[{L}0-9]", line_before) and not re.search(rf"[{L}0-9]", line_after)
+    before, alone = text[max(0, a - 40) : a], _alone(text, a, b)
     initial = len(given.rstrip(".")) == 1
     said = bool(INTRODUCED.search(before)) or bool(AS_SAID.search(before) and AFTER_AS.match(text, b)) or bool(FOLLOWED.match(text, b))
     known_given, known_family = names.is_given(given), names.is_family(family)
@@ -256,7 +288,7 @@ def _is_person(text: str, m: re.Match, names: Names) -> bool:
     if said:
         return True
     if known_family:
-        return known_given or initial or alone or (listed and not re.search(r"(?:^|[.!?:;\n\x00]\s*)$", before))
+        return known_given or initial or alone or (listed and not OPENS.search(before))
     return known_given and listed and (alone or given.casefold() not in EVERYDAY)
 
 
