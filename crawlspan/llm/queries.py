@@ -38,7 +38,7 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.collapse(read(spark, d, "pages", *PAIR.values()), **PAIR)
 
 
-TITLE = {"id": "page_id", "title": "title", "url": "url", "words": "word_count", "status": "http_status"}
+TITLE = {"id": "page_id", "title": "title", "url": "url", "words": "word_count", "status": "http_status", "description": "meta_description", "headings": "h1s"}
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

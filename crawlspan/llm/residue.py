@@ -1,14 +1,21 @@
 """Pages whose title is template residue, filler, an error or block message, or a notice that scripts are needed.
 
 A title is reduced to its core: character references resolved, invisible characters dropped, and the site's name, as its host
-spells it, cut off. Placeholder detectors look at the core's signs, phrase detectors at its words, where a phrase must be the
-whole core: a headline about such things has words of its own. A placeholder or unrendered value counts wherever it stands,
-unless the words around it speak of notation. Page evidence decides what is left: a core that mentions such a message counts
-only on a page with hardly any text. Host evidence finds messages that no list has: a short core that repeats on
-several hosts, never shares a term with the address slug, and stands on low-information pages only.
-
-All but the decoding of references is columns. The host evidence takes one shuffle on the core, aggregated map-side, of the
-short cores not decided before.
+spells it, cut off. What decides is evidence that adds up; RESIDUE points make a page residue.
+
+- Placeholder detectors decide alone: signs of template languages and values that were never rendered, wherever they stand,
+  unless the words around them speak of notation.
+- Mismatch: the core shares no term with the address slug, and less than half of its terms with the body (description, headings
+  that don't just repeat the title). 1 point.
+- The core has the form of a known message (2 points) or mentions one (1 point); neither is enough alone. On a page with hardly
+  any text, or beside a known form with an error status, 1 point more.
+- Host evidence, for cores that no form decides: the same core, numbers aside, stands on pages with hardly any text on HOSTS hosts
+  and a fifth of its hosts at least (duplicated low information, 2 points), while no term of it names anything in the corpus: none
+  is in the slugs of HOSTS hosts, nor do the bodies support it (mismatch, 1 point). This finds messages that no list has.
+
+Each page is examined once; its short columns are written to the shared checkpoint folder and read from there. All but the decoding of
+references is columns. The host evidence is aggregated map-side by (core, host), then by core; rows of hot cores stay where they
+are (`operators.skew`), and the terms of the few cores that repeat are looked up in the slugs' terms by a shuffle join.
 """
 
 from __future__ import annotations
@@ -16,13 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlspan.functions.urls import let
 from crawlspan.llm.duplicates import decoded
+from crawlspan.operators import skew
+from crawlspan.sources.tables import checkpoint_dir
 
+#: Points that make a page residue.
+RESIDUE = 3
 #: Words of text below which a page has hardly any content.
 THIN = 150
-#: Host evidence: hosts that share a core, and the longest core in words.
+#: Host evidence: hosts that share a core, the share of them on which it stands on a thin page, and the longest core in words.
 HOSTS = 3
-SHORT_CORE = 7
+THIN_HOSTS = 0.2
+SHORT_CORE = 9
 
 # The notations of template languages, as they look when nothing was filled in.
 PLACEHOLDERS = (
@@ -125,18 +138,31 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}'’]+", " "))
 
 
-def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, status: str) -> DataFrame:
-    """(id, core, terms, reason, ...): every page with a title of letters, digits or placeholder signs, and why it is residue.
+def body_terms(title: Column, texts: list[Column]) -> Column:
+    """Words of three letters and more of the body's texts, without those that only repeat the title or its beginning."""
+    plain = lambda x: words_of(F.lower(x))
+    said = let(plain(title), lambda low: F.filter(F.transform(F.concat(*texts), plain), lambda x: x.isNotNull() & (x != "") & ~F.startswith(F.coalesce(low, F.lit("")), x)))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(said, " "), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
-    reason is `placeholder`, `unrendered`, `filler`, `error`, `notice` or `message` (one that only page evidence decides), or null.
+
+def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, status: str, description: str | None = None, headings: str | None = None) -> DataFrame:
+    """(_id, terms, _site, reason, points, ...): every page with a title of letters, digits or placeholder signs, and what speaks against it.
+
+    reason is the strongest form that the core has: `placeholder`, `unrendered` (which decide alone), `filler`, `error`,
+    `notice`, `message` (a mention), or null.
     """
-    rows = pages.select(F.col(id).alias("_id"), F.col(words).alias("_words"), F.col(status).alias("_status"), site_words(F.col(url)).alias("_site"), slug_terms(F.col(url)).alias("_slug"), F.col(title).alias("_raw"), core_of(F.col(title), F.col(url)).alias("core"))
+    texts = ([F.array(F.col(description))] if description else []) + ([F.coalesce(F.col(headings), F.array().cast("array<string>"))] if headings else [])
+    body = body_terms(F.col(title), texts) if texts else F.array().cast("array<string>")
+    rows = pages.select(
+        F.col(id).alias("_id"), F.col(words).alias("_words"), F.coalesce(F.col(status) >= 400, F.lit(False)).alias("_failed"), site_words(F.col(url)).alias("_site"), slug_terms(F.col(url)).alias("_slug"), F.col(title).alias("_raw"),
+        core_of(F.col(title), F.col(url)).alias("core"), body.alias("_body"),
+    )
     rows = rows.filter(F.col("core").rlike(r"[\p{L}\p{N}]|%s")).withColumn("terms", words_of(F.col("core")))
     marks = "(" + "|".join(PLACEHOLDERS) + ")"
     marked = F.col("core").rlike(marks)
-    many = F.size(F.split("terms", " "))
-    bare = F.regexp_replace("terms", "[’]", "'")
     bits = F.split("terms", " ")
+    many = F.size(bits)
+    bare = F.regexp_replace("terms", "[’]", "'")
     # One pattern for each text, as each is compiled into every filter. What may be notation becomes U+0001.
     noted = F.regexp_replace("core", "(?:" + marks + r"|(?<![\p{L}\p{N}])(?:undefined|null|nan)(?![\p{L}\p{N}]))", "\x01")
     quoted = f'(?:{QUOTES}\\s*\\x01\\s*{QUOTES}|{DOUBLE}[^"“”«»„`]{{0,30}}\\x01[^"“”«»„`]{{0,30}}{DOUBLE})'
@@ -144,25 +170,49 @@ def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, sta
     about = noted.rlike(TOPICS) | ((F.coalesce("_words", F.lit(THIN)) >= THIN) & noted.rlike(f"^(?=.*{quoted})(?=.*(?:{NEAR}|{ASKS}))|^(?=.*{spoken})(?=.*{NEAR})"))
     held = F.col("core").rlike(SLOT) | F.col("_raw").rlike(VALUE)
     unrendered = F.col("terms").isin(*UNRENDERED) | ((many <= 3) & F.arrays_overlap(bits, F.array(*[F.lit(x) for x in ("undefined", "null", "nan")])))
-    thin = (F.coalesce("_words", F.lit(0)) < THIN) & (many <= 9) & F.col("terms").rlike(MENTIONS)
     reason = (
         F.when((marked | held) & ~about, F.when(marked, "placeholder").otherwise("unrendered")).when(unrendered, "unrendered").when(bare.rlike(whole(FILLER)), "filler")
-        .when(bare.rlike(whole(ERRORS)), "error").when(bare.rlike(whole(NOTICES)), "notice").when(thin, "message")
+        .when(bare.rlike(whole(ERRORS)), "error").when(bare.rlike(whole(NOTICES)), "notice").when((many <= SHORT_CORE) & F.col("terms").rlike(MENTIONS), "message")
+    )
+    long = F.array_distinct(F.filter(bits, lambda w: F.length(w) >= 3))
+    rows = rows.withColumns({"reason": reason, "_many": many, "_thin": F.coalesce("_words", F.lit(0)) < THIN, "_fits": F.arrays_overlap(bits, "_slug"), "_backed": (F.size(long) > 0) & (F.size(F.array_intersect(long, "_body")) * 2 >= F.size(long))})
+    point = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    known = F.coalesce(F.col("reason").isin("filler", "error", "notice"), F.lit(False))
+    points = F.when(F.col("reason").isin("placeholder", "unrendered"), RESIDUE).otherwise(
+        F.when(known, 2).when(F.col("reason") == "message", 1).otherwise(0) + point(~F.col("_fits") & ~F.col("_backed")) + point(F.col("_thin") | (known & F.col("_failed")))
     )
-    return rows.withColumns({"reason": reason, "_many": many})
+    return rows.withColumn("points", points)
+
+
+def repeated_cores(rows: DataFrame, slugs: DataFrame) -> DataFrame:
+    """(terms, _n): cores that host evidence decides, and how many of `rows` have each. rows: terms (numbers as 0), _site, _thin,
+    _fits, _backed. slugs: (_slug, _site) of all pages."""
+    spread = rows.groupBy("terms", "_site").agg(F.count("*").alias("_n"), F.max("_thin").alias("_thin"), F.max("_fits").alias("_fits"), F.min("_backed").alias("_backed"))
+    share = lambda c: F.count(F.when(F.col(c), 1))
+    evidence = spread.groupBy("terms").agg(F.sum("_n").alias("_n"), F.count("*").alias("_hosts"), share("_thin").alias("_thin"), share("_fits").alias("_fits"), share("_backed").alias("_backed"))
+    low = evidence.filter((F.col("_thin") >= HOSTS) & (F.col("_thin") >= F.col("_hosts") * THIN_HOSTS) & (F.col("_fits") == 0) & (F.col("_backed") * 2 < F.col("_hosts"))).select("terms", "_n")
+    named = slugs.select("_site", F.explode("_slug").alias("_term")).distinct().groupBy("_term").agg(F.count("*").alias("_hosts")).filter(F.col("_hosts") >= HOSTS).select("_term")
+    matched = low.select("terms", F.explode(F.array_distinct(F.split("terms", " "))).alias("_term")).join(named, "_term", "left_semi").select("terms").distinct()
+    return low.join(matched, "terms", "left_anti")
 
 
-def residue(pages: DataFrame, *, id: str, title: str, url: str, words: str, status: str) -> DataFrame:
-    """(id, reason): the pages to exclude; reason `repeated` is decided by host evidence alone.
+def residue(pages: DataFrame, *, id: str, title: str, url: str, words: str, status: str, description: str | None = None, headings: str | None = None) -> DataFrame:
+    """(id, reason, points): the pages to exclude; reason `repeated` is decided by host evidence alone.
 
-    Null, blank and punctuation-only titles are no case. A null count of words is taken as 0, a null address gives no site, no
-    slug and no host evidence. Repeated rows give one. Empty tables give an empty result; other columns are ignored.
+    description (a text) and headings (an array) are the body's columns; without them nothing but the slug can support a title.
+    Null, blank and punctuation-only titles are no case. A null count of words is taken as 0, a null status as no error, a null
+    address gives no site, no slug and no host evidence. Repeated rows give one. Empty tables give an empty result; other columns are
+    ignored. The examined pages are written to the checkpoint folder when this is called.
     """
-    rows = examined(pages, id=id, title=title, url=url, words=words, status=status)
-    direct = rows.filter("reason IS NOT NULL").select("_id", "reason")
-    rest = rows.filter("reason IS NULL AND _site != ''").filter(F.col("_many") <= SHORT_CORE).select("_id", "terms", "_site", "_words", F.arrays_overlap(F.split("terms", " "), "_slug").alias("_fits"))
-    spread = rest.groupBy("terms", "_site").agg(F.max("_fits").alias("_fits"), F.max(F.coalesce("_words", F.lit(0))).alias("_most"))
-    evidence = spread.groupBy("terms").agg(F.count("*").alias("_hosts"), F.max("_fits").alias("_fits"), F.max("_most").alias("_most"))
-    known = evidence.filter((F.col("_hosts") >= HOSTS) & ~F.col("_fits") & (F.col("_most") < THIN)).select("terms")
-    repeated = rest.join(known, "terms", "left_semi").select("_id", F.lit("repeated").alias("reason"))
-    return direct.unionByName(repeated).groupBy("_id").agg(F.min("reason").alias("reason")).withColumnRenamed("_id", id)
+    spark = pages.sparkSession
+    checkpoint_dir(spark)
+    found = examined(pages, id=id, title=title, url=url, words=words, status=status, description=description, headings=headings)
+    numberless = F.regexp_replace("terms", r"\p{N}+", "0")
+    found = found.select("_id", "reason", "points", "_site", "_thin", "_fits", "_backed", F.when((F.col("points") < RESIDUE) & (F.col("_site") != "") & (F.col("_many") <= SHORT_CORE), numberless).alias("terms")).checkpoint()
+    direct = found.filter(F.col("points") >= RESIDUE).select("_id", "reason", "points")
+    rest = found.filter("terms IS NOT NULL")
+    slugs = pages.select(site_words(F.col(url)).alias("_site"), slug_terms(F.col(url)).alias("_slug")).filter("_site != ''")
+    cores = repeated_cores(rest, slugs).checkpoint()
+    total = cores.agg(F.sum("_n")).first()[0] or 0
+    repeated = skew.joined(rest.select("_id", "terms"), cores, ["terms"], count="_n", total=total, how="left_semi").select("_id", F.lit("repeated").alias("reason"), F.lit(RESIDUE).alias("points"))
+    return direct.unionByName(repeated).groupBy("_id").agg(F.min("reason").alias("reason"), F.max("points").alias("points")).withColumnRenamed("_id", id)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from crawlspan.llm import residue as R
@@ -47,3 +49,31 @@ def test_placeholders_in_long_titles(spark):
     rows = [(i, t, f"https://mill-shop.test/item/oak-kettle-{i}", 900, 200) for i, t in enumerate(LONG + ABOUT)]
     got = {r.i for r in R.residue(spark.createDataFrame(rows, "i long, t string, u string, w int, s int"), **OPTIONS).collect()}
     assert [t for i, t in enumerate(LONG) if i not in got] == [] and [ABOUT[i - len(LONG)] for i in got if i >= len(LONG)] == []
+
+
+def test_evidence_without_lists(spark, monkeypatch):
+    """Messages that no list has are found by what speaks against their pages, and nothing else is."""
+    for name in ("FILLER", "ERRORS", "NOTICES"):
+        monkeypatch.setattr(R, name, ("(?!)",))
+    monkeypatch.setattr(R, "MENTIONS", "(?!)")
+    body = {"description": "d", "headings": "h"}
+    schema = "i long, t string, u string, w int, s int, d string, h array<string>"
+    goods = ("oak-lamp", "copper-kettle", "wool-blanket", "garden-bench")
+    rows = [(i, t, f"https://shop-{i % 5}.test/item/{goods[i % 4]}-{i}", w, 200, "Meet the makers", [t, t[:6]]) for i, (t, w) in enumerate([("Hier klemmt etwas", 12), ("Zuzka 404 nenalezena", 60), ("Zuzka 500 nenalezena", 60)] * 10)]
+    unseen = {r[0] for r in rows}
+    rows += [(i, t, f"https://shop-{i % 5}.test/item/{goods[i % 4]}-{i}", w, 200, d, [t]) for i, (t, w, d) in enumerate([("Copper Kettle", 12, "x"), ("Why errors matter to us all", 900, "x"), ("Meet the makers", 40, "Come and meet the makers")] * 10, 100)]
+    got = R.residue(spark.createDataFrame(rows, schema), **OPTIONS, **body).collect()
+    assert {r.i for r in got} == unseen and {r.reason for r in got} == {"repeated"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_with_all_lists_hidden(spark, monkeypatch):
+    from crawlspan.llm.queries import TITLE
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(*TITLE.values()).repartition(4)
+    all_ = {r.page_id for r in R.residue(pages, **TITLE).collect()}
+    for name in ("FILLER", "ERRORS", "NOTICES"):
+        monkeypatch.setattr(R, name, ("(?!)",))
+    monkeypatch.setattr(R, "MENTIONS", "(?!)")
+    alone = {r.page_id for r in R.residue(pages, **TITLE).collect()}
+    assert alone <= all_ and len(alone) >= 0.9 * len(all_)
