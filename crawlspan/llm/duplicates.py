@@ -2,9 +2,10 @@
 
 A record's canonical key is a hash of its group and its two texts, each reduced to letters and digits, in sorted order. Keys
 are counted exactly: partial counts of every input partition, added up. Keys that hold at least 1/HOT_PARTS of the rows are
-hot; there can't be more than HOT_PARTS of them, which bounds what is broadcast. Hot rows are aggregated in two levels over
-salted keys and meet their representative by broadcast; all others take one shuffle on the key, of which no key has more than
-1/HOT_PARTS of the rows. The representative is the smallest identifier.
+hot (`operators.skew`), whatever the size of the table. Hot rows are aggregated in two levels over salted keys and meet their
+representative where they lie; all others take one shuffle on the key. The representative is the smallest identifier.
+
+The keyed rows are written to the shared checkpoint folder once, when a function is called, and read from there.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-HOT_PARTS = 1000
-#: Fewer rows of a key are never hot.
-HOT_LEAST = 10_000
+from crawlspan.operators import skew
+from crawlspan.sources.tables import checkpoint_dir
+
+#: Parts of a hot key's rows.
 SALTS = 64
 
 #: Texts that need decoding in Python: a character reference, or a character that may have a canonically equivalent form.
@@ -53,16 +54,18 @@ def keyed(records: DataFrame, *, group: str, first: str, second: str) -> DataFra
     return rows.withColumn("_key", F.unhex(F.md5(of))).drop("_a", "_b")
 
 
-def _split(rows: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows and totals of the hot keys, then those of the rest."""
-    hot_least = max(HOT_LEAST, rows.count() // HOT_PARTS)
-    hot = F.broadcast(totals.filter(F.col("_n") >= hot_least))
-    return rows.join(hot.select("_key"), "_key", "left_semi"), hot, rows.join(hot.select("_key"), "_key", "left_anti"), totals.filter(F.col("_n") < hot_least)
+def _parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, written down, of the hot keys and of the rest."""
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    counts = rows.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    hot_rows, _, rest_rows, _ = skew.parted(rows, counts, ["_key"], count="_n", total=rows.count())
+    return hot_rows, rest_rows
 
 
 def _salted(rows: DataFrame, least: Column) -> DataFrame:
-    """(_key, _r, _n): of each key the smallest value, named _r, and the number of rows, in two levels."""
-    salted = rows.groupBy("_key", F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.lit(SALTS)).alias("_salt")).agg(least, F.count("*").alias("_n"))
+    """(_key, _r, _n): of each hot key the smallest value, named _r, and the number of rows, in two levels."""
+    salted = rows.groupBy("_key", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(least, F.count("*").alias("_n"))
     return salted.groupBy("_key").agg(F.min("_r").alias("_r"), F.sum("_n").alias("_n"))
 
 
@@ -73,11 +76,10 @@ def copies(records: DataFrame, *, group: str, first: str, second: str, id: str)
     group of its own. Repeated rows give their identifier once. Empty tables give an empty result; other columns are ignored.
     """
     rows = keyed(records.select(group, first, second, F.col(id).alias("_id")).filter("_id IS NOT NULL"), group=group, first=first, second=second)
-    rows = rows.select("_key", "_id").persist(StorageLevel.DISK_ONLY)
-    totals = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_rep")).filter("_n > 1")
-    hot_rows, _, rest_rows, rest = _split(rows, totals)
-    hot = F.broadcast(_salted(hot_rows, F.min("_id").alias("_r")).select("_key", F.col("_r").alias("_rep")))
-    pairs = hot_rows.join(hot, "_key").select("_rep", "_id").unionByName(rest_rows.join(rest, "_key").select("_rep", "_id"))
+    hot_rows, rest_rows = _parted(rows.select("_key", "_id"))
+    hot = _salted(hot_rows, F.min("_id").alias("_r")).select("_key", F.col("_r").alias("_rep"))
+    rest = rest_rows.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_rep")).filter("_n > 1").drop("_n")
+    pairs = hot_rows.join(F.broadcast(hot), "_key").select("_rep", "_id").unionByName(rest_rows.join(rest, "_key").select("_rep", "_id"))
     return pairs.filter("_rep != _id").select(F.col("_rep").alias("a"), F.col("_id").alias("b")).distinct()
 
 
@@ -88,9 +90,7 @@ def collapse(records: DataFrame, *, group: str, first: str, second: str, id: str
     representative the smallest texts are shown.
     """
     rows = keyed(records.select(group, F.col(id).alias("_id"), F.col(first).alias("_first"), F.col(second).alias("_second")).filter("_id IS NOT NULL"), group=group, first="_first", second="_second")
-    rows = rows.persist(StorageLevel.DISK_ONLY)
-    totals = rows.groupBy("_key").agg(F.count("*").alias("_n"))
-    hot_rows, _, rest_rows, _ = _split(rows, totals)
+    hot_rows, rest_rows = _parted(rows)
     least = F.min(F.struct("_id", "_first", "_second", group)).alias("_r")
     both = _salted(hot_rows, least).unionByName(rest_rows.groupBy("_key").agg(least, F.count("*").alias("_n")))
     return both.select(F.col(f"_r.{group}").alias(group), F.col("_r._id").alias(id), F.col("_r._first").alias(first), F.col("_r._second").alias(second), F.col("_n").alias("copies"))

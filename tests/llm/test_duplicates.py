@@ -11,8 +11,7 @@ OPTIONS = {"group": "g", "first": "t", "second": "m", "id": "pid"}
 @pytest.mark.parametrize("hot", [False, True])
 def test_copies(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(D, "HOT_LEAST", 3)
-        monkeypatch.setattr(D, "HOT_PARTS", 3)
+        monkeypatch.setattr(D.skew, "HOT_PARTS", 3)
     rows = [
         (5, 1, "Café  Chair", "Nice & new"), (3, 1, "CAFÉ chair!", "nice &amp; NEW"), (9, 1, "nice-new", "c&#97;f&eacute;­ chair"), (4, 1, "Cafe chair", "nice new"), (2, 2, "café chair", "nice new"),
         (6, 1, None, "nice new"), (7, 1, "...", "nice new"), (8, 1, "", ""), (10, None, "a", "b"), (11, None, "B", "A"), (5, 1, "Café  Chair", "Nice & new"), (None, 1, "café chair", "nice new"), (12, 1, "x" * 100_000, "straße"), (13, 1, "X" * 100_000, "STRASSE"),
@@ -25,7 +24,7 @@ def test_copies(spark, monkeypatch, hot):
 
 
 def test_one_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(D, "HOT_LEAST", 100)
+    monkeypatch.setattr(D.skew, "HOT_PARTS", 10)
     rnd = random.Random(2)
     rows = [(i, 1, rnd.choice(["A b", "a-B", "a  b."]), "c", "") for i in range(1000)] + [(i, 1, f"t{i // 2}", "d", "") for i in range(1000, 1400)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
@@ -34,8 +33,7 @@ def test_one_hot_group(spark, monkeypatch):
     assert sorted(r.copies for r in D.collapse(df, **OPTIONS).collect()) == [2] * 200 + [1000]
 
 
-def test_hot_copies_are_salted(spark, monkeypatch, capsys):
-    monkeypatch.setattr(D, "HOT_LEAST", 5)
+def test_hot_copies_are_salted(spark, capsys):
     rows = [(i, 1, "Oak lamp", "A lamp") for i in range(20, 8, -1)] + [(i, 1, "Pan", f"{i // 2}") for i in range(30, 34)]
     found = D.copies(spark.createDataFrame(rows, "i long, g int, t string, m string"), group="g", first="t", second="m", id="i")
     found.explain()
