@@ -6,12 +6,15 @@ searched backwards at once, word by word; occurrences are located by walking bac
 one document are merged. A phrase can't hold a word that no item has, so a shard's text is first reduced, without any loss, to
 the runs of item words that are long enough for a phrase; a document lies in one shard as a whole.
 
-Nothing is shuffled but the few rows found. The items are sent to the executors in blocks of bounded size, each of which is
-searched against the whole corpus.
+Nothing is shuffled but the few rows found, and the corpus is read and indexed once: each shard's index is searched for all blocks of
+items before the next shard is read. Items are cut into words on the executors and pass through the driver block by block, as 8
+bytes a word; phrases are formed only where they are searched, a bounded number at once. A worker holds 8 bytes for each
+word of all items besides its shard. Words are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,8 +30,9 @@ SHARD_WORDS = 1_000_000
 SAMPLE = 16
 #: Characters of items in one block.
 BLOCK_CHARS = 20_000_000
-#: Distinct spellings whose word id a worker remembers.
+#: Distinct spellings whose word id a worker remembers, and phrases that are searched at once.
 SPELLINGS = 500_000
+PHRASES = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -118,48 +122,53 @@ class FmIndex:
         return out
 
 
-class Phrases:
-    """The phrases of a block of items, as word ids, by length."""
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.casefold().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def __init__(self, items: list[tuple[int, str]], size: int = PHRASE):
-        self.ids: dict[str, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            words = [self.ids.setdefault(w.casefold(), len(self.ids) + 1) for w in WORD.findall(text)]
-            n = min(size, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                found.setdefault(tuple(words[i : i + n]), set()).add(item)
-        by: dict[int, list[tuple[int, ...]]] = {}
-        for phrase in found:
-            by.setdefault(len(phrase), []).append(phrase)
-        self.arrays = {n: np.array(p, np.int64) for n, p in by.items()}
-        self.items = {n: [sorted(found[x]) for x in p] for n, p in by.items()}
-        self.least = min(by, default=0)
+
+def _phrases(block: tuple[np.ndarray, np.ndarray, np.ndarray], size: int = PHRASE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrases, their items) of a block, by length, at most PHRASES at once. block: item of each run, where runs begin (and
+    the last ends), symbols; -1 is a symbol that the shard lacks, and no phrase holds one."""
+    owners, bounds, symbols = block
+    lengths = np.diff(bounds)
+    lacking = np.r_[0, np.cumsum(symbols < 0)]
+    for n in np.unique(np.minimum(lengths, size)).tolist():
+        if n == 0:
+            continue
+        runs = np.flatnonzero(np.minimum(lengths, size) == n)
+        counts = lengths[runs] - n + 1
+        first = np.repeat(bounds[runs], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        owner = np.repeat(owners[runs], counts)
+        whole = lacking[first + n] == lacking[first]
+        first, owner = first[whole], owner[whole]
+        for at in range(0, len(first), PHRASES):
+            yield symbols[first[at : at + PHRASES, None] + np.arange(n)], owner[at : at + PHRASES]
 
 
-def _search(phrases: Phrases, shard: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+def _search(blocks, vocabulary: np.ndarray, shard: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
     """(document's place in the shard, item, first word, word after the last) of every occurrence. shard: (place, offset, run)."""
     lengths = np.array([len(run) + 1 for _, _, run in shard])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     text = np.zeros(int(lengths.sum()), np.int64)
     for at, (_, _, run) in zip(starts, shard, strict=True):
         text[at : at + len(run)] = run
-    index = FmIndex(text, len(phrases.ids))
-    for n, array in phrases.arrays.items():
-        low, high = index.search(array)
-        hits = np.flatnonzero(high > low)
-        if not len(hits):
-            continue
-        sizes = (high - low)[hits]
-        which = np.repeat(hits, sizes)
-        rows = np.repeat(low[hits], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        positions = index.locate(rows)
-        runs = np.searchsorted(starts, positions, "right") - 1
-        for p, r, at in zip(which.tolist(), runs.tolist(), positions.tolist(), strict=True):
-            place, offset, _ = shard[r]
-            first = offset + at - int(starts[r])
-            for item in phrases.items[n][p]:
-                yield place, item, first, first + n
+    own = np.unique(text[text > 0])  # the shard's words, numbered from 1
+    text[text > 0] = np.searchsorted(own, text[text > 0]) + 1
+    index = FmIndex(text, len(own))
+    hashes = vocabulary[own - 1]
+    for block in blocks:
+        owners, bounds, words = block.value
+        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        for array, owner in _phrases((owners, bounds, np.where(hashes[at] == words, at + 1, -1))):
+            low, high = index.search(array)
+            hits = np.flatnonzero(high > low)
+            sizes = (high - low)[hits]
+            rows = np.repeat(low[hits], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            positions = index.locate(rows)
+            runs = np.searchsorted(starts, positions, "right") - 1
+            for item, r, place in zip(np.repeat(owner[hits], sizes).tolist(), runs.tolist(), positions.tolist(), strict=True):
+                first = shard[r][1] + place - int(starts[r])
+                yield shard[r][0], item, first, first + array.shape[1]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,19 +182,54 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class _Spellings(dict):
-    """Ids of words as they are spelt; 0 for those that no item has."""
+    """Places from 1 in the vocabulary of words as they are spelt; 0 for those that no item has."""
 
-    def __init__(self, ids: dict[str, int]):
+    def __init__(self, vocabulary: np.ndarray):
         super().__init__()
-        self.ids = ids
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
         if len(self) >= SPELLINGS:
             self.clear()
-        self[word] = found = self.ids.get(word.casefold(), 0)
+        h = word_hash(word)
+        at = int(np.searchsorted(self.vocabulary, h))
+        self[word] = found = at + 1 if at < len(self.vocabulary) and self.vocabulary[at] == h else 0
         return found
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [np.array([word_hash(w) for w in WORD.findall(t)], np.int64).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["item", "words"])
+
+
+def item_blocks(items: DataFrame, item: str, item_text: str) -> tuple[list, np.ndarray, int]:
+    """Broadcasts of the items' words in blocks of BLOCK_CHARS (at a word for six characters), their vocabulary, sorted, and the
+    shortest phrase. The driver holds one block and the vocabulary."""
+    spark = items.sparkSession
+    blocks, vocabulary, least = [], np.array([], np.int64), PHRASE
+    held: list[tuple[int, np.ndarray]] = []
+
+    def close():
+        nonlocal vocabulary, held
+        if held:
+            words = np.concatenate([w for _, w in held])
+            blocks.append(spark.sparkContext.broadcast((np.array([i for i, _ in held], np.int64), np.r_[0, np.cumsum([len(w) for _, w in held])], words)))
+            vocabulary, held = np.union1d(vocabulary, words), []
+
+    n = 0
+    rows = items.select(F.col(item).cast("long").alias("item"), item_text).dropna().mapInArrow(_item_words, "item long, words binary").filter("length(words) > 0")
+    for row in rows.toLocalIterator():
+        words = np.frombuffer(row["words"], np.int64)
+        held.append((row["item"], words))
+        least, n = min(least, len(words)), n + len(words)
+        if n * 6 >= BLOCK_CHARS:
+            close()
+            n = 0
+    close()
+    return blocks, vocabulary, least
+
+
 def leaks(corpus: DataFrame, items: DataFrame, *, id: str, text: str, item: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, spans): each document with each item of which it has a phrase, and the merged word spans [from, to).
 
@@ -197,58 +241,43 @@ def leaks(corpus: DataFrame, items: DataFrame, *, id: str, text: str, item: str,
     schema = f"doc_id {corpus.schema[id].dataType.simpleString()}, item_id long, spans array<struct<first:int,last:int>>"
     out_types = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    def searcher(block):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = block.value
-            ids = _Spellings(phrases.ids)
-            docs: list = []
-            shard: list[tuple] = []
-            kind, held = None, 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for place, item_id, a, b in _search(phrases, shard) if shard else ():
-                    spans.setdefault((place, item_id), []).append((a, b))
-                if spans:
-                    lists = [[{"first": a, "last": b} for a, b in _merged(v)] for v in spans.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array([docs[p] for p, _ in spans], kind), pa.array([i for _, i in spans], pa.int64()), pa.array(lists, out_types)], names=["doc_id", "item_id", "spans"])
-
-            for b in batches:
-                kind = b.schema.field(0).type
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found = np.fromiter((ids[w] for w in WORD.findall(t)), np.int64)
-                    edges = np.flatnonzero(np.diff(np.r_[False, found > 0, False]))
-                    runs = [(a, z) for a, z in edges.reshape(-1, 2).tolist() if z - a >= phrases.least]
-                    if runs:
-                        docs.append(doc)
-                        shard.extend((len(docs) - 1, a, found[a:z]) for a, z in runs)
-                        held += sum(z - a for a, z in runs)
-                    if held >= SHARD_WORDS:
-                        yield from flush()
-                        docs, shard, held = [], [], 0
-            yield from flush()
-
-        return of
+    blocks, words, least = item_blocks(items, item, item_text)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    sent = spark.sparkContext.broadcast(words)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        ids = _Spellings(vocabulary)
+        docs: list = []
+        shard: list[tuple] = []
+        kind, held = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for place, item_id, a, b in _search(blocks, vocabulary, shard) if shard else ():
+                spans.setdefault((place, item_id), []).append((a, b))
+            if spans:
+                lists = [[{"first": a, "last": b} for a, b in _merged(v)] for v in spans.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([docs[p] for p, _ in spans], kind), pa.array([i for _, i in spans], pa.int64()), pa.array(lists, out_types)], names=["doc_id", "item_id", "spans"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = np.fromiter((ids[w] for w in WORD.findall(t)), np.int64)
+                edges = np.flatnonzero(np.diff(np.r_[False, found > 0, False]))
+                runs = [(a, z) for a, z in edges.reshape(-1, 2).tolist() if z - a >= least]
+                if runs:
+                    docs.append(doc)
+                    shard.extend((len(docs) - 1, a, found[a:z]) for a, z in runs)
+                    held += sum(z - a for a, z in runs)
+                if held >= SHARD_WORDS:
+                    yield from flush()
+                    docs, shard, held = [], [], 0
+        yield from flush()
 
     texts = corpus.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
-    result = None
-
-    def add(block: list[tuple[int, str]]):
-        nonlocal result
-        phrases = Phrases(block)
-        if phrases.ids:
-            found = texts.mapInArrow(searcher(spark.sparkContext.broadcast(phrases)), schema)
-            result = found if result is None else result.unionByName(found)
-
-    block, chars = [], 0
-    for row in items.select(F.col(item).cast("long"), item_text).dropna().toLocalIterator():
-        block.append((row[0], row[1]))
-        chars += len(row[1])
-        if chars >= BLOCK_CHARS:
-            add(block)
-            block, chars = [], 0
-    add(block)
-    return result if result is not None else spark.createDataFrame([], schema)
+    return texts.mapInArrow(of, schema)
 
 
 def merged_spans(found: DataFrame) -> DataFrame:

@@ -60,3 +60,14 @@ def test_blocks(spark, monkeypatch):
 def test_spans_merge(spark):
     rows = spark.createDataFrame([(1, 1, [(0, 12), (20, 30)]), (1, 2, [(5, 20)]), (2, 1, [(3, 4)]), (1, 3, [(40, 41)])], "doc_id int, item_id int, spans array<struct<first:int,last:int>>")
     assert {tuple(r) for r in L.merged_spans(rows).collect()} == {(1, 0, 30), (1, 40, 41), (2, 3, 4)}
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Items of any size pass the driver in blocks; phrases are formed a bounded number at once."""
+    monkeypatch.setattr(L, "BLOCK_CHARS", 6_000)
+    monkeypatch.setattr(L, "PHRASES", 7)
+    items = spark.createDataFrame([(i, " ".join(f"w{i * 50 + j}" for j in range(100))) for i in range(60)], "i long, x string")
+    blocks, vocabulary, least = L.item_blocks(items, "i", "x")
+    assert len(blocks) == 6 and max(len(b.value[2]) for b in blocks) == 1000 and len(vocabulary) == 59 * 50 + 100 and least == 12
+    corpus = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(130, 142))), (2, " ".join(f"w{j}" for j in range(130, 141)))], "k long, t string")
+    assert {(r.doc_id, r.item_id) for r in L.leaks(corpus, items, **OPTIONS).collect()} == {(1, 1), (1, 2)}
