@@ -51,32 +51,35 @@ def p5_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON object of structured_data and report with its parent."""
-    return nested.json_nodes(nested.page_texts(read(spark, d, "pages"), read(spark, d, "scan_scores")))
+    return _objects(spark, d).select("source", "row_id", "node", "parent").distinct()
 
 
-def _triples(spark: SparkSession, d: str) -> DataFrame:
-    return nested.json_triples(nested.page_texts(read(spark, d, "pages"), read(spark, d, "scan_scores")))
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    return nested.objects(nested.page_texts(read(spark, d, "pages", "page_id", "structured_data"), read(spark, d, "scan_scores", "scan_score_id", "report")))
 
 
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables that the records give, with their objects and distinct rows."""
-    objects = _triples(spark, d).filter("kind = 'object'")
-    return objects.groupBy("source", "table").agg(F.count("*").alias("objects"), F.countDistinct("row_id").alias("records")).withColumnRenamed("table", "table_path")
+    """The flat tables that the records give, with their objects, distinct rows and keys."""
+    found = _objects(spark, d).select("source", "row_id", "node", "table_path", F.map_keys("values").alias("k")).distinct()
+    counts = found.groupBy("source", "table_path").agg(F.countDistinct("row_id", "node").alias("objects"), F.countDistinct("row_id").alias("records"))
+    keys = found.select("source", "table_path", F.explode("k").alias("k")).distinct().groupBy("source", "table_path").agg(F.count("*").alias("keys"))
+    return counts.join(keys, ["source", "table_path"], "left").select("source", "table_path", "objects", "records", F.coalesce("keys", F.lit(0)).alias("keys"))
 
 
 def p7_offers(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of single offers."""
-    return nested.table_of(_triples(spark, d).filter("source = 'structured_data'"), "$|offers", ["@type", "price", "priceCurrency"])
+    """The flat table of offers, single and listed, with the keys that the data have."""
+    return nested.flat_table(_objects(spark, d), "structured_data", "$|offers", "family")
 
 
 def p7_checks(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of the technical checks in the reports."""
-    return nested.table_of(_triples(spark, d).filter("source = 'report'"), "$|categories|technical|checks|*", ["id", "label", "status", "passed", "total"])
+    """The flat tables of the checks of all categories in the reports, in one."""
+    found = _objects(spark, d).filter("source = 'report' AND family RLIKE '^[$][|]categories[|][^|]+[|]checks$'")
+    return nested.flat_table(found.withColumn("family", F.lit("checks")), "report", "checks", "family").withColumn("affectedUrls", F.array_join("affectedUrls", " "))
 
 
 def p7_values(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables of all paths, with every key and value of every object."""
-    return nested.all_tables(_triples(spark, d))
+    return _objects(spark, d).select("source", "table_path", "row_id", "node", "parent", "values")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_changes_by_scan, p4_found, p4_link_results, p5_found, p5_orphans_by_month, p7_found, p7_tables, p7_offers, p7_checks, p7_values)}
@@ -124,7 +127,32 @@ found AS (
   FROM refs LEFT JOIN pages p ON refs.key = p.page_id
   WHERE key IS NOT NULL AND (p.page_id IS NULL OR p.created_at > seen))
 """
+_P7 = """
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT 'structured_data' AS source, page_id AS row_id, '$|' || (generate_subscripts(structured_data, 1) - 1) AS base, unnest(structured_data) AS x FROM pages
+  UNION ALL SELECT DISTINCT 'report', scan_score_id, '$', report FROM scan_scores),
+j AS (SELECT source, row_id, base, t.id, t.parent AS up, t.key, t.type, t.atom FROM (SELECT * FROM texts WHERE json_valid(x)), json_tree(x) AS t),
+walk AS (
+  SELECT source, row_id, base, id, type, atom, base AS node, '$' AS tab, '' AS owner, '$' AS owned, '' AS kp FROM j WHERE up IS NULL
+  UNION ALL
+  SELECT j.source, j.row_id, j.base, j.id, j.type, j.atom, w.node || '|' || j.key, w.tab || '|' || CASE WHEN w.type = 'ARRAY' THEN '*' ELSE j.key END,
+    CASE WHEN w.type = 'OBJECT' THEN w.node ELSE w.owner END, CASE WHEN w.type = 'OBJECT' THEN w.tab ELSE w.owned END, CASE WHEN w.type = 'OBJECT' THEN j.key ELSE w.kp || '|' || j.key END
+  FROM walk w JOIN j ON j.source = w.source AND j.row_id = w.row_id AND j.base = w.base AND j.up = w.id),
+objects AS (SELECT DISTINCT source, row_id, node, owner AS parent, tab FROM walk WHERE type = 'OBJECT'),
+vals AS (SELECT source, row_id, owner AS node, kp, regexp_replace(kp, '([|][0-9]+)+$', '') AS k, atom ->> '$' AS v, id FROM walk WHERE type NOT IN ('OBJECT', 'ARRAY') AND owner <> '')
+"""
 SQL = {
+    "p7_found": _P7 + "SELECT source, row_id, node, parent FROM objects",
+    "p7_tables": _P7
+    + """SELECT o.source, o.tab AS table_path, count(DISTINCT (o.row_id, o.node)) AS objects, count(DISTINCT o.row_id) AS records, count(DISTINCT kp) AS keys
+    FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node GROUP BY ALL""",
+    "p7_offers": _P7
+    + """SELECT o.source, o.row_id, o.node, o.parent, max(v) FILTER (k = '@type') AS "@type", max(v) FILTER (k = 'price') AS price, max(v) FILTER (k = 'priceCurrency') AS "priceCurrency"
+    FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node WHERE o.source = 'structured_data' AND replace(tab, '|*', '') = '$|offers' GROUP BY ALL""",
+    "p7_checks": _P7
+    + """SELECT o.source, o.row_id, o.node, o.parent, array_to_string(list(v ORDER BY v.id) FILTER (k = 'affectedUrls'), ' ') AS "affectedUrls", max(v) FILTER (k = 'id') AS id, max(v) FILTER (k = 'label') AS label,
+      max(v) FILTER (k = 'passed') AS passed, max(v) FILTER (k = 'status') AS status, max(v) FILTER (k = 'total') AS total
+    FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node WHERE o.source = 'report' AND regexp_matches(replace(tab, '|*', ''), '^[$][|]categories[|][^|]+[|]checks$') GROUP BY ALL""",
     "p2_found": _P2 + "SELECT entity, project_id, scan_id, record_key, change FROM changes",
     "p2_changes_by_scan": _P2 + "SELECT entity, project_id, scan_id, change, count(*) AS records FROM changes GROUP BY ALL",
     "p4_found": _P4 + "SELECT key_field, key_value FROM keyed WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM page_links) * 2",
