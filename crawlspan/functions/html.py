@@ -135,12 +135,12 @@ def links(html: Column, url: Column) -> Column:
 
 
 def images(imgs: Column, url: Column) -> Column:
-    """Array of (src, alt, width, height, loading, format) of every image with a source."""
+    """Array of (src, alt, width, height, loading, format, srcset) of every image with a source."""
 
     found = F.transform(F.filter(imgs, lambda t: attribute(t, "src") != ""), lambda t: F.struct(t.alias("tag"), urls.absolute(attribute(t, "src"), url).alias("src")))
     size = lambda t, n: F.coalesce(F.regexp_extract(t, f"(?i){n}=[\"']?([0-9]+)", 1).try_cast("int"), F.lit(0)).alias(n)
     return F.transform(
-        found, lambda x: F.struct(x["src"].alias("src"), attribute(x["tag"], "alt").alias("alt"), size(x["tag"], "width"), size(x["tag"], "height"), F.lower(attribute(x["tag"], "loading")).alias("loading"), urls.image_format(x["src"]).alias("format"))
+        found, lambda x: F.struct(x["src"].alias("src"), attribute(x["tag"], "alt").alias("alt"), size(x["tag"], "width"), size(x["tag"], "height"), F.lower(attribute(x["tag"], "loading")).alias("loading"), urls.image_format(x["src"]).alias("format"), srcset(x["tag"]).alias("srcset"))
     )
 
 
@@ -209,3 +209,131 @@ def is_challenge(title_: Column, html: Column) -> Column:
     named = F.lower(title_).rlike("|".join(CHALLENGE_TITLES))
     small = (F.length(html) < 1500) & low.rlike("http-equiv=[\"']?refresh") & low.rlike(r"captcha|challenge|\.well-known")
     return F.coalesce(named, F.lit(False)) | F.coalesce(low.rlike("|".join(m.replace(".", r"\.") for m in CHALLENGE_MARKS)) | small, F.lit(False))
+
+
+# Headers of a response that concern security.
+SECURITY_HEADERS = ("content-security-policy", "strict-transport-security", "x-frame-options", "x-content-type-options", "referrer-policy", "permissions-policy")
+# Platforms whose pages need a browser.
+NEED_BROWSER = ("shopify", "squarespace", "wix", "webflow", "bigcommerce", "magento", "nuxt")
+# Signs of platforms in response headers; the first that holds counts. A sign is (header, text it contains), all of a row
+# must hold; an empty text asks for the header alone. `powered` stands for powered-by or x-powered-by.
+HEADER_SIGNS = (
+    ("shopify", [("powered", "shopify")]), ("shopify", [("x-shopid", "")]), ("shopify", [("x-shardid", "")]), ("squarespace", [("powered", "squarespace")]), ("squarespace", [("server", "squarespace")]),
+    ("wix", [("x-wix-request-id", "")]), ("wix", [("server", "wix")]), ("webflow", [("powered", "webflow")]), ("webflow", [("server", "webflow")]), ("bigcommerce", [("powered", "bigcommerce")]), ("bigcommerce", [("x-bc-store-version", "")]),
+    ("magento", [("server", "magento")]), ("magento", [("x-magento-vary", "")]), ("wordpress", [("powered", "wp engine")]), ("wordpress", [("powered", "wordpress")]), ("drupal", [("x-drupal-cache", "")]), ("drupal", [("x-generator", "drupal")]),
+    ("varnish-cdn", [("via", "varnish"), ("x-cache", "")]), ("nextjs", [("powered", "next.js")]), ("nuxt", [("powered", "nuxt")]), ("nuxt", [("x-nuxt-cache", "")]), ("shopify", [("link", "cdn.shopify.com")]), ("shopify", [("set-cookie", "_shopify_")]),
+)
+# Signs of platforms in the page; the first row of which all texts occur counts.
+HTML_SIGNS = (
+    ("nuxt", ['<div id="app"></div>']), ("nuxt", ['<div id="__nuxt">']), ("nextjs", ['<div id="__next">']), ("nextjs", ["_next/static"]), ("react-spa", ['<div id="root"></div>', "bundle.js"]), ("angular", ["<app-root"]), ("angular", ["ng-version="]),
+    ("shopify", ["shopify.com/s/"]), ("shopify", ["cdn.shopify.com"]), ("shopify", ["shopify-section"]), ("shopify", ["data-shopify"]), ("shopify", ["shopify.loadfeatures"]), ("squarespace", ["squarespace.com"]), ("squarespace", ["data-squarespace-cacheversion"]),
+    ("squarespace", ["sqs-block"]), ("squarespace", ["sqsp-"]), ("wix", ["static.wixstatic.com"]), ("wix", ["wix-dropdown"]), ("wix", ["x-wix-"]), ("wix", ["corvid-by-wix"]), ("webflow", ["webflow.com"]), ("webflow", ["data-wf-"]), ("webflow", ["w-nav"]),
+    ("bigcommerce", ["bigcommerce.com"]), ("bigcommerce", ["data-content-region"]), ("magento", ["requirejs-config", "mage/"]), ("magento", ["magento"]), ("magento", ["data-mage-init"]), ("wordpress", ["wp-content/"]), ("wordpress", ["wp-includes/"]),
+    ("gatsby", ["___gatsby"]), ("gatsby", ["gatsby-"]),
+)
+#: Characters of a page in which platforms are looked for, of the body's beginning, and the text that it must have.
+PLATFORM_CHARS, BODY_CHARS, BODY_TEXT = 50_000, 500, 20
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def platform_of_headers(headers: Column) -> Column:
+    """The platform that response headers (a map with lower-case names) tell of, or null."""
+    get = lambda n: F.try_element_at(headers, F.lit(n))
+    value = lambda n: F.coalesce(F.nullif(get("powered-by"), F.lit("")), get("x-powered-by")) if n == "powered" else get(n)
+    holds = lambda n, text: (F.contains(F.lower(value(n)) if n not in ("link", "set-cookie") else value(n), F.lit(text)) if text else value(n) != "")
+    out = F.when(F.lit(False), F.lit(""))
+    for name, signs in HEADER_SIGNS:
+        out = out.when(F.coalesce(_all([holds(n, t) for n, t in signs]), F.lit(False)), F.lit(name))
+    return out
+
+
+def platform_of_html(html: Column) -> Column:
+    """The platform that a page's markup tells of; `spa-generic` if its body begins almost without text; or null."""
+    def found(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for name, texts in HTML_SIGNS:
+            out = out.when(_all([F.contains(low, F.lit(t)) for t in texts]), F.lit(name))
+        return out
+
+    body = F.regexp_extract(html, rf"(?is)<body[^>]*>(.{{0,{BODY_CHARS}}})", 1)
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "(?is)<script.*?</script>", ""), "<[^>]+>", ""), r"^\s+|\s+$", "")
+    return F.coalesce(urls.let(F.lower(F.substring(html, 1, PLATFORM_CHARS)), found), F.when(html.rlike("(?i)<body[^>]*>") & (F.length(text) < BODY_TEXT), F.lit("spa-generic")))
+
+
+def needs_browser(platform: Column) -> Column:
+    return F.coalesce(platform.isin(*NEED_BROWSER) | platform.endswith("-spa") | (platform == "spa-generic"), F.lit(False))
+
+
+def security_headers(headers: Column) -> Column:
+    """Those of SECURITY_HEADERS that have a value."""
+    return F.map_filter(headers, lambda k, v: k.isin(*SECURITY_HEADERS) & (v != ""))
+
+
+def robots_with_header(metas: Column, header: Column, word: str) -> Column:
+    """`robots`, or the same word in the X-Robots-Tag header."""
+    return robots(metas, word) | F.coalesce(F.contains(F.lower(header), F.lit(word)), F.lit(False))
+
+
+def challenge_ip(html: Column) -> Column:
+    """The address that a challenge page says it blocked, or null."""
+    return F.nullif(F.regexp_extract(html, r"ipc:(\d{1,3}(?:\.\d{1,3}){3})", 1), F.lit(""))
+
+
+def is_poor(title_: Column, content_type: Column, length: Column, words_: Column) -> Column:
+    """Whether a page must be looked at with a browser: no real title, or an HTML page almost without text."""
+    bare = F.contains(content_type, F.lit("text/html")) & (length < 500) & (words_ < 5)
+    return title_.isNull() | (F.length(title_) < 3) | F.coalesce(bare, F.lit(False))
+
+
+def schema_source(served: Column, rendered: Column | None = None) -> Column:
+    """Where a page's schema types (arrays) come from: `server`, `client`, `both` or `none`."""
+    s, r = F.coalesce(F.size(served) > 0, F.lit(False)), F.coalesce(F.size(rendered) > 0, F.lit(False)) if rendered is not None else F.lit(False)
+    if rendered is None:
+        return F.when(s, F.lit("server")).otherwise(F.lit("none"))
+    return F.when(s & r, F.lit("both")).when(s, F.lit("server")).when(r, F.lit("client")).otherwise(F.lit("none"))
+
+
+def script_share(plain_words: Column, rendered_words: Column) -> Column:
+    """How many percent of a page's words only scripts bring, rounded half up; null if it is 20 or less."""
+    gap = F.when(rendered_words > 0, F.floor((rendered_words - F.coalesce(plain_words, F.lit(0))) / rendered_words * 100 + 0.5)).otherwise(F.lit(0)).cast("int")
+    return F.when(gap > 20, gap)
+
+
+def ld_types(blocks: Column) -> Column:
+    """The distinct types of JSON-LD blocks in order: of the block, of each member of its @graph, of the first of an array."""
+    names = lambda v, p: F.coalesce(F.try_variant_get(v, f"{p}['@type']", "array<string>"), F.filter(F.array(F.try_variant_get(v, f"{p}['@type']", "string")), lambda x: x.isNotNull()))
+    kept = lambda v: F.concat(
+        names(v, "$"), F.coalesce(F.flatten(F.transform(F.try_variant_get(v, "$['@graph']", "array<variant>"), lambda m: names(m, "$"))), F.array().cast("array<string>")), names(v, "$[0]")
+    )
+    return F.array_distinct(F.filter(F.flatten(F.transform(F.transform(blocks, F.try_parse_json), kept)), lambda x: x.isNotNull()))
+
+
+def hreflang_ordered(html: Column) -> Column:
+    """Array of (lang, url) of the alternate links in the three orders of attributes that crawlers read, one order after the other."""
+    q = "[\"']"
+    v = f"{q}([^\"']*){q}"
+
+    def pairs(pattern: str, lang: int, url: int) -> Column:
+        found = F.coalesce(F.regexp_extract_all(html, F.lit(f"(?i)<link[^>]*{pattern}[^>]*>"), F.lit(0)), F.array().cast("array<string>"))
+        one = lambda t, n: F.regexp_extract(t, f"(?i)<link[^>]*{pattern}[^>]*>", n)
+        return F.transform(found, lambda t: F.struct(one(t, lang).alias("lang"), one(t, url).alias("url")))
+
+    alternate = f"rel={q}alternate{q}"
+    return F.concat(pairs(f"{alternate}[^>]*hreflang={v}[^>]*href={v}", 1, 2), pairs(f"hreflang={v}[^>]*{alternate}[^>]*href={v}", 1, 2), pairs(f"href={v}[^>]*{alternate}[^>]*hreflang={v}", 2, 1))
+
+
+def hints_ordered(html: Column, rel: str) -> Column:
+    """Targets of resource hints: of tags with rel before href, then of those with href before rel."""
+    q = "[\"']"
+    found = lambda p: F.coalesce(F.regexp_extract_all(html, F.lit(f"(?i)<link[^>]*{p}"), F.lit(1)), F.array().cast("array<string>"))
+    return F.concat(found(f"rel={q}{rel}{q}[^>]*href={q}([^\"']+){q}"), found(f"href={q}([^\"']+){q}[^>]*rel={q}{rel}{q}"))
+
+
+def srcset(tag: Column) -> Column:
+    return F.nullif(attribute(tag, "srcset"), F.lit(""))

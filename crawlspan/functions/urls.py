@@ -232,3 +232,75 @@ def image_format(url: Column) -> Column:
     for short, long in FORMATS.items():
         ending = F.when(ending == short, F.lit(long)).otherwise(ending)
     return F.when(is_url(url), ending).otherwise(F.lit(""))
+
+
+# Domains of builders whose pages are made by scripts.
+JS_HEAVY = (
+    "shopify.com", "shopifypreview.com", "myshopify.com", "squarespace.com", "squarespace-cdn.com", "wix.com", "wixsite.com", "wixstatic.com", "webflow.io", "webflow.com", "bigcommerce.com", "mybigcommerce.com", "magento.com", "magento.cloud",
+    "volusion.com", "3dcart.com", "shift4shop.com", "ecwid.com", "weebly.com", "godaddysites.com", "duda.co", "dudaone.com", "framer.app", "framer.website", "carrd.co", "bubble.io", "softr.io", "gatsbyjs.io", "vercel.app", "netlify.app", "cargo.site",
+)
+# Image endings that are recognised by the source alone.
+GUESSED = ("webp", "avif", "svg", "png", "jpg", "jpeg", "gif", "bmp", "ico")
+
+
+def normalize_basic(url: Column) -> Column:
+    """The address with https if it names no scheme, without fragment and without one slash at the end of its path. Null if it is no URL."""
+    full = F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
+    p = path(full)
+    p = F.when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+    return F.when((url != "") & is_url(full), F.concat(scheme(full), F.lit("://"), F.lower(_part(full, 2)), p, query(full)))
+
+
+def is_public(url: Column, addresses: Column) -> Column:
+    """Whether an address may be fetched: its host is a public IP, or all of the host's `addresses` (an array) are, of which there must be one."""
+    h = F.regexp_replace(host(url), r"^\[|\]$", "")
+    literal = h.rlike(r"^[0-9.]+$") | F.contains(h, F.lit(":"))
+    known = (F.size(addresses) > 0) & F.forall(addresses, lambda a: ~is_private_ip(a))
+    return F.coalesce(F.when(h == "", F.lit(False)).when(literal, ~is_private_ip(h)).otherwise(known), F.lit(False))
+
+
+def is_same_site(target: Column, base: Column) -> Column:
+    """Whether a host is the base host, www aside, or below it."""
+    t, b = F.lower(target), F.regexp_replace(F.lower(base), r"^www\.", "")
+    return (t == b) | t.endswith(F.concat(F.lit("."), b))
+
+
+def is_safe_sitemap(url: Column, base: Column, addresses: Column) -> Column:
+    return F.coalesce(is_internal(url, base), F.lit(False)) | is_public(url, addresses)
+
+
+def as_path(value: Column, base_host: Column | None = None) -> Column:
+    """A setting as a path: trimmed, of 300 characters at most, without blanks, with a slash before it. A whole address stays if it is
+    on the site of `base_host`, and is refused without one. Null for what is refused."""
+    t = F.trim(value)
+    same = F.coalesce(is_same_site(host(t), base_host), F.lit(False)) & is_url(t) if base_host is not None else F.lit(False)
+    good = (t != "") & (F.length(t) <= 300) & ~t.rlike(r"\s")
+    return F.when(good & t.rlike("^https?://"), F.when(same, t)).when(good, F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t)))
+
+
+def is_js_heavy(url: Column) -> Column:
+    return F.lower(url).rlike("|".join(d.replace(".", r"\.") for d in JS_HEAVY))
+
+
+def guessed_format(src: Column) -> Column:
+    """Image format by the ending of a source, absolute or not; `unknown` for others."""
+    bare = F.regexp_extract(F.lower(src), r"^([^?#]*)", 1)
+    ending = F.regexp_extract(bare, r"\.(" + "|".join(GUESSED) + ")$", 1)
+    return F.when(ending == "jpg", F.lit("jpeg")).when(ending != "", ending).otherwise(F.lit("unknown"))
+
+
+def www_by_redirects(domain: Column, www: Column, bare: Column) -> Column:
+    """`www`, `bare` or `unknown` by probes of both forms of a domain (without www.), structs of final, status, redirected; null is no answer."""
+    at = lambda p, name: F.contains(p["final"], F.concat(F.lit("//"), name))
+    still = ~www["redirected"] & ~bare["redirected"]
+    found = (
+        F.when(www.isNull() | bare.isNull(), F.lit("unknown")).when(at(www, domain) & ~F.contains(www["final"], F.lit("//www.")), F.lit("bare")).when(at(bare, F.concat(F.lit("www."), domain)), F.lit("www"))
+        .when(still & (www["status"] == 200) & (bare["status"] != 200), F.lit("www")).when(still & (bare["status"] == 200) & (www["status"] != 200), F.lit("bare"))
+    )
+    return F.coalesce(found, F.lit("unknown"))
+
+
+def www_choice(locked: Column, redirects: Column, links: Column, base: Column) -> Column:
+    """The preference that counts: a setting, then what redirects say, then links, then the form of the base address."""
+    known = lambda x: F.nullif(x, F.lit("unknown"))
+    return F.coalesce(known(locked), known(redirects), known(links), F.when(host(base).startswith("www."), F.lit("www")).otherwise(F.lit("bare")))

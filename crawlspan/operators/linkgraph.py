@@ -94,3 +94,74 @@ def www_preference(links: DataFrame, url: str = "destination_url") -> DataFrame:
     rows = links.filter("link_type = 'internal'").groupBy("project_id").agg(F.count("*").alias("_n"), F.count(F.when(host(F.col(url)).startswith("www."), 1)).alias("_w"))
     share = F.col("_w") / F.col("_n")
     return rows.select("project_id", F.when(F.col("_n") < 5, "unknown").when(share >= 0.7, "www").when(share <= 0.3, "bare").otherwise("unknown").alias("www"))
+
+
+def first_results(results: DataFrame, order: str = "seq") -> DataFrame:
+    """Crawl results without those of other schemes; of addresses that differ in letter case or blanks only the first by `order`."""
+    http = results.filter(F.col("url").rlike("(?i)^https?://"))
+    first = http.groupBy(F.lower(F.trim("url")).alias("_k")).agg(F.min(order).alias("_first"))
+    return http.withColumn("_k", F.lower(F.trim("url"))).join(first, "_k").filter(F.col(order) == F.col("_first")).drop("_k", "_first")
+
+
+def bogus_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose address is none of the web, or is another scheme's mangled into one."""
+    return pages.filter(~F.coalesce(F.col("url").rlike("(?i)^https?://"), F.lit(False)) | F.col("url").rlike("(?i)^https?://(mailto|tel|javascript|sms|ftp):"))
+
+
+def link_rows(results: DataFrame, pages: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """(project_id, source_page_id, destination_page_id, destination_url, anchor_text, link_type, rel_attributes, is_followed, http_status,
+    is_broken): the rows of page_links that crawled pages give, one for each page and destination, internal links first.
+
+    results: (project_id, page_id, url, http_status, links), links as of `html.links`. pages: all known pages, (project_id, page_id, url).
+    A link to a page of this crawl has its status; one to a known page that wasn't crawled counts as 200; an unknown one has none.
+    statuses: (url, status, private) of probed external addresses: broken from 400 on, or 0 for no answer; a private one stays unknown.
+    """
+    flat = results.select("project_id", F.col("page_id").alias("source_page_id"), F.posexplode("links").alias("at", "l")).filter(F.col("l.url").rlike("(?i)^https?://"))
+    rows = flat.select("project_id", "source_page_id", F.when(F.col("l.internal"), "internal").otherwise("external").alias("link_type"), "at", F.col("l.url").alias("destination_url"), F.col("l.anchor_text").alias("anchor_text"), F.col("l.rel").alias("rel_attributes"))
+    # The first of a page's links to one destination, found by an aggregate that combines map-side.
+    rest = F.struct(F.when(F.col("link_type") == "internal", 0).otherwise(1).alias("o"), "at", "link_type", "anchor_text", "rel_attributes")
+    rows = rows.groupBy("project_id", "source_page_id", "destination_url").agg(F.min(rest).alias("f")).select("project_id", "source_page_id", "destination_url", "f.link_type", "f.anchor_text", "f.rel_attributes")
+    known = url_variants(pages.withColumn("http_status", F.lit(None).cast("int"))).select("project_id", F.col("variant").alias("destination_url"), F.col("page_id").alias("exact_id"))
+    low = known.withColumnsRenamed({"destination_url": "_low", "exact_id": "low_id"})
+    crawled = results.groupBy("project_id", F.col("url").alias("destination_url")).agg(F.min("http_status").alias("seen_status"), F.lit(True).alias("seen"))
+    inner = rows.filter("link_type = 'internal'").join(known, ["project_id", "destination_url"], "left").withColumn("_low", F.lower("destination_url")).join(low, ["project_id", "_low"], "left").drop("_low").join(crawled, ["project_id", "destination_url"], "left")
+    goal = F.coalesce("exact_id", "low_id")
+    status = F.when(goal.isNotNull(), F.when(F.col("seen"), F.col("seen_status")).otherwise(F.lit(200)))
+    inner = inner.select("project_id", "source_page_id", goal.alias("destination_page_id"), "destination_url", "anchor_text", "link_type", "rel_attributes", status.alias("http_status"), F.coalesce(status >= 400, F.lit(False)).alias("is_broken"))
+    outer = rows.filter("link_type = 'external'")
+    if statuses is None:
+        outer = outer.withColumns({"http_status": F.lit(None).cast("int"), "is_broken": F.lit(False)})
+    else:
+        probed = statuses.groupBy(F.col("url").alias("destination_url")).agg(F.min("status").alias("status"), F.max("private").alias("private"))
+        private = F.coalesce("private", F.lit(False))
+        outer = outer.join(probed, "destination_url", "left").withColumns({"http_status": F.when(~private, F.col("status")), "is_broken": F.coalesce(~private & ((F.col("status") >= 400) | (F.col("status") == 0)), F.lit(False))})
+    both = inner.unionByName(outer.withColumn("destination_page_id", F.lit(None).cast(pages.schema["page_id"].dataType)).select(*inner.columns))
+    return both.withColumn("is_followed", ~F.coalesce(F.array_contains("rel_attributes", "nofollow"), F.lit(False)))
+
+
+def broken_internal(links: DataFrame) -> DataFrame:
+    """(project_id, page_id, destination_url, http_status, fingerprint): an issue of the source page for each broken internal link."""
+    rows = links.filter("link_type = 'internal' AND is_broken").select("project_id", F.col("source_page_id").alias("page_id"), "destination_url", "http_status").distinct()
+    return rows.withColumn("fingerprint", F.concat(F.col("page_id").cast("string"), F.lit(":broken_internal_link:"), F.col("destination_url")))
+
+
+def page_ids(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows with the page that has their address in their project; rows without one are dropped."""
+    return rows.join(pages.select("project_id", "url", "page_id").distinct(), ["project_id", "url"])
+
+
+def link_totals(results: DataFrame) -> DataFrame:
+    """(project_id, links): links of all kinds on a crawl's pages."""
+    return results.groupBy("project_id").agg(F.sum(F.size(F.coalesce("links", F.array().cast(results.schema["links"].dataType)))).alias("links"))
+
+
+def homepages(pages: DataFrame) -> DataFrame:
+    """(project_id, page_id): a page at depth 0 of each project, the smallest."""
+    return pages.filter("depth = 0").groupBy("project_id").agg(F.min("page_id").alias("page_id"))
+
+
+def cascade(gone: DataFrame, links: DataFrame, issues: DataFrame, backlinks: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """What is left of each table once pages are gone: links from or to them, their issues and backlinks, the pages themselves."""
+    keys = gone.select("page_id").filter("page_id IS NOT NULL").distinct()
+    rest = lambda df: df.join(keys, "page_id", "left_anti")
+    return {"page_links": without_pages(gone, links), "issues": rest(issues), "backlinks": rest(backlinks), "pages": rest(pages)}

@@ -52,25 +52,33 @@ RULES = (
 
 def facts(pages: DataFrame) -> DataFrame:
     """One row of facts for each page with html; a null page gives a row whose facts are null or 0."""
+    return records(pages).drop("links", "images", "hreflang", "gaps", "url_issues", "landmarks", "script_srcs", "stylesheet_hrefs", "h1s", "h2s", "tags", "schema_types", "title", "structured_data")
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """The facts with the lists behind them: links, images, hreflang, gaps, url_issues, landmarks, script_srcs, stylesheet_hrefs, h1s, h2s."""
     # The tags are cut out in a projection of their own, and each kind once.
     tagged = pages.withColumns({"_metas": H.tags_of(F.col("html"), "meta"), "_linked": H.tags_of(F.col("html"), "link"), "_imgs": H.tags_of(F.col("html"), "img"), "_scripts": H.tags_of(F.col("html"), "script"), "_headings": H.headings(F.col("html"))})
     h, u, metas, linked, imgs, heads = F.col("html"), F.col("url"), F.col("_metas"), F.col("_linked"), F.col("_imgs"), F.col("_headings")
     base = tagged.select(
         "page_id", "project_id", "url", "http_status", "word_count", "size_bytes", "load_time_ms", H.title(h).alias("page_title"), H.meta(metas, "description").alias("description"), F.size(F.filter(heads, lambda x: x["level"] == 1)).alias("h1_count"),
         U.is_utility(u).alias("utility"), H.canonical(linked).alias("canonical"), H.robots(metas, "noindex").alias("noindex"), F.size(F.map_keys(H.prefixed_meta(metas, "og"))).alias("og_count"), F.size(F.map_keys(H.prefixed_meta(metas, "twitter"))).alias("twitter_count"),
-        F.size(F.coalesce("schema_types", F.array().cast("array<string>"))).alias("schema_count"), F.size(H.heading_gaps(heads)).alias("heading_gaps"), H.has_viewport(metas).alias("viewport"), H.has_mixed_content(h, u).alias("mixed_content"),
-        F.size(U.url_issues(u)).alias("url_issue_count"), H.links(h, u).alias("links"), H.images(imgs, u).alias("images"), H.shifting_images(imgs).alias("shifting_images"), H.hreflang(linked).alias("hreflang"), H.language(h).alias("lang"),
-        F.size(H.landmarks(h)).alias("landmark_count"), H.has_skip_link(h).alias("skip_link"), (F.size(H.hinted(linked, "preconnect")) + F.size(H.hinted(linked, "preload"))).alias("hint_count"), (U.path_depth(u) == 0).alias("homepage"),
-        H.has_consent(h).alias("consent"), H.has_contact_form(h).alias("contact_form"), F.size(H.sources(F.col("_scripts"))).alias("js_count"), F.size(H.stylesheets(linked)).alias("css_count"), F.size(H.json_ld(h)).alias("json_ld_count"), H.favicon(linked, u).alias("favicon"),
+        F.size(F.coalesce("schema_types", F.array().cast("array<string>"))).alias("schema_count"), H.heading_gaps(heads).alias("gaps"), H.has_viewport(metas).alias("viewport"), H.has_mixed_content(h, u).alias("mixed_content"),
+        U.url_issues(u).alias("url_issues"), H.links(h, u).alias("links"), H.images(imgs, u).alias("images"), H.shifting_images(imgs).alias("shifting_images"), H.hreflang_ordered(h).alias("hreflang"), H.language(h).alias("lang"),
+        H.landmarks(h).alias("landmarks"), H.has_skip_link(h).alias("skip_link"), (F.size(H.hinted(linked, "preconnect")) + F.size(H.hinted(linked, "preload"))).alias("hint_count"), (U.path_depth(u) == 0).alias("homepage"),
+        H.has_consent(h).alias("consent"), H.has_contact_form(h).alias("contact_form"), H.sources(F.col("_scripts")).alias("script_srcs"), H.stylesheets(linked).alias("stylesheet_hrefs"), F.size(H.json_ld(h)).alias("json_ld_count"), H.favicon(linked, u).alias("favicon"),
+        *[F.transform(F.filter(heads, lambda x, n=n: x["level"] == n), lambda x: x["text"]).alias(f"h{n}s") for n in (1, 2)], F.concat(*[F.coalesce(F.to_json(H.prefixed_meta(metas, p)), F.lit("")) for p in ("og", "twitter")]).alias("tags"),
+        F.coalesce("schema_types", F.array().cast("array<string>")).alias("schema_types"), F.coalesce("structured_data", F.array().cast("array<string>")).alias("structured_data"), F.col("title"),
     )
     count = lambda c, f: F.size(F.filter(c, f))
     return base.withColumns(
         {
+            "heading_gaps": F.size("gaps"), "url_issue_count": F.size("url_issues"), "landmark_count": F.size("landmarks"), "js_count": F.size("script_srcs"), "css_count": F.size("stylesheet_hrefs"),
             "canonical_self": U.same_page(F.col("canonical"), u), "image_count": F.size("images"), "images_without_alt": count("images", lambda i: F.trim(i["alt"]) == ""), "lazy_images": count("images", lambda i: i["loading"] == "lazy"),
-            "old_images": count("images", lambda i: ~i["format"].isin("webp", "avif", "svg")), "hreflang_count": F.size("hreflang"), "hreflang_default": count("hreflang", lambda t: F.lower(t["lang"]) == "x-default"),
+            "old_images": count("images", lambda i: ~i["format"].isin("webp", "avif", "svg")), "hreflang_count": F.size("hreflang"), "hreflang_default": count("hreflang", lambda t: t["lang"] == "x-default"),
             "generic_anchors": count("links", lambda x: F.lower(F.trim(x["anchor_text"])).isin(*GENERIC_ANCHORS)), "internal_links": count("links", lambda x: x["internal"]), "external_links": count("links", lambda x: ~x["internal"]),
         }
-    ).drop("links", "images", "hreflang")
+    )
 
 
 def issues(found: DataFrame) -> DataFrame:
