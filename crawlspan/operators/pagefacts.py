@@ -50,9 +50,14 @@ RULES = (
 )
 
 
+#: Columns that other sources than the markup give, which records keep where pages have them.
+CARRIED = ("scan_id", "headers", "redirect_chain", "readability", "top_keyword", "missing_labels", "tabindex_misuse", "plain_words", "rendered_words", "image_sizes", "depth", "platform", "script_gap", "seq")
+LISTS = ("links", "images", "hreflang", "gaps", "url_issues", "landmarks", "script_srcs", "stylesheet_hrefs", "h1s", "h2s", "tags", "schema_types", "title", "structured_data")
+
+
 def facts(pages: DataFrame) -> DataFrame:
     """One row of facts for each page with html; a null page gives a row whose facts are null or 0."""
-    return records(pages).drop("links", "images", "hreflang", "gaps", "url_issues", "landmarks", "script_srcs", "stylesheet_hrefs", "h1s", "h2s", "tags", "schema_types", "title", "structured_data")
+    return records(pages).drop(*LISTS, *CARRIED)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -69,6 +74,7 @@ def records(pages: DataFrame) -> DataFrame:
         H.has_consent(h).alias("consent"), H.has_contact_form(h).alias("contact_form"), H.sources(F.col("_scripts")).alias("script_srcs"), H.stylesheets(linked).alias("stylesheet_hrefs"), F.size(H.json_ld(h)).alias("json_ld_count"), H.favicon(linked, u).alias("favicon"),
         *[F.transform(F.filter(heads, lambda x, n=n: x["level"] == n), lambda x: x["text"]).alias(f"h{n}s") for n in (1, 2)], F.concat(*[F.coalesce(F.to_json(H.prefixed_meta(metas, p)), F.lit("")) for p in ("og", "twitter")]).alias("tags"),
         F.coalesce("schema_types", F.array().cast("array<string>")).alias("schema_types"), F.coalesce("structured_data", F.array().cast("array<string>")).alias("structured_data"), F.col("title"),
+        *[n for n in CARRIED if n in pages.columns],
     )
     count = lambda c, f: F.size(F.filter(c, f))
     return base.withColumns(
