@@ -332,22 +332,6 @@ def report_pages(spark: SparkSession, d: str) -> DataFrame:
     return scores.report_pages(*_report(spark, d))
 
 
-ROBOTS = [
-    ("a.test", "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /\nSitemap: https://a.test/sitemap.xml"), ("b.test", "# none\nUser-agent: CCBot\nDisallow: / # all\nUser-agent: *\nDisallow: /tmp\nAllow: /"),
-    ("c.test", "User-agent: GPTBot\nAllow: /\nUser-agent: *\nDisallow: /"), ("d.test", ""),
-]
-
-
-@query()
-def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    return sitefiles.robots_rules(spark.createDataFrame(ROBOTS, "site string, content string"))
-
-
-@query()
-def blocked_agents(spark: SparkSession, d: str) -> DataFrame:
-    return sitefiles.blocked_agents(spark.createDataFrame(ROBOTS, "site string, content string"))
-
-
 @query(
     """WITH t AS (SELECT doc_id, text FROM documents WHERE source = 'llms_txt' AND text IS NOT NULL), l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS pos FROM t),
     p AS (SELECT doc_id, lower(trim(regexp_extract(line, '^([^:]+):', 1))) AS field, trim(regexp_extract(line, '^[^:]+:(.*)$', 1)) AS value, pos FROM l WHERE strpos(line, ':') > 1)
