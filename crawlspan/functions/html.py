@@ -307,7 +307,9 @@ def script_share(plain_words: Column, rendered_words: Column) -> Column:
 
 def ld_types(blocks: Column) -> Column:
     """The distinct types of JSON-LD blocks in order: of the block, of each member of its @graph, of the first of an array."""
-    names = lambda v, p: F.coalesce(F.try_variant_get(v, f"{p}['@type']", "array<string>"), F.filter(F.array(F.try_variant_get(v, f"{p}['@type']", "string")), lambda x: x.isNotNull()))
+    parts = lambda v, p: F.coalesce(F.try_variant_get(v, f"{p}['@type']", "array<variant>"), F.array(F.try_variant_get(v, f"{p}['@type']", "variant")))
+    # What isn't a text is no type.
+    names = lambda v, p: F.transform(F.filter(parts(v, p), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
     kept = lambda v: F.concat(
         names(v, "$"), F.coalesce(F.flatten(F.transform(F.try_variant_get(v, "$['@graph']", "array<variant>"), lambda m: names(m, "$"))), F.array().cast("array<string>")), names(v, "$[0]")
     )

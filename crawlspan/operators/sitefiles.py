@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlspan.functions.urls import sitemap_key
+from crawlspan.sources.tables import checkpoint_dir
 
 # Agents of answer engines.
 AGENTS = (
@@ -97,16 +98,17 @@ def sitemap_tree(roots: DataFrame, files: DataFrame, most: int = SUB_MOST, depth
 
     roots: (site, url). files: (url, status, content), what an address answers; addresses that aren't there give no row and don't count.
     An address is taken once, by its sitemap key. Up to `most` sitemaps below the root are taken, numbered from 1 in the order
-    of the queue; `number` 0 is the root. Indexes on level `depth` aren't followed. Each level is a join with the files.
+    of the queue; `number` 0 is the root. Indexes on level `depth` aren't followed. Each level is a join with the files, cut off by a checkpoint.
     """
+    checkpoint_dir(files.sparkSession)
     files = files.groupBy(sitemap_key(F.col("url")).alias("k")).agg(F.min(F.struct("url", "status", "content")).alias("f")).filter("k IS NOT NULL").select("k", "f.status", "f.content")
-    level = roots.groupBy("site").agg(F.min("url").alias("url")).select("site", "url", sitemap_key(F.col("url")).alias("k"), F.array(F.lit(0)).alias("way")).join(files, "k").withColumn("level", F.lit(0))
+    level = roots.groupBy("site").agg(F.min("url").alias("url")).select("site", "url", sitemap_key(F.col("url")).alias("k"), F.array(F.lit(0)).alias("way")).join(files, "k").withColumn("level", F.lit(0)).checkpoint()
     found = level
     for n in range(1, depth + 1):
         ways = level.filter("status BETWEEN 200 AND 299 AND contains(content, '<sitemapindex')").select("site", "way", F.posexplode(locs("content")).alias("at", "url"))
         ways = ways.select("site", "url", sitemap_key(F.col("url")).alias("k"), F.concat("way", F.array("at")).alias("way")).filter("k IS NOT NULL")
         first = ways.groupBy("site", "k").agg(F.min(F.struct("way", "url")).alias("x")).select("site", "k", "x.way", "x.url").join(found.select("site", "k"), ["site", "k"], "left_anti")
-        level = first.join(files, "k").select("k", "site", "url", "way", "status", "content").withColumn("level", F.lit(n))
+        level = first.join(files, "k").select("k", "site", "url", "way", "status", "content").withColumn("level", F.lit(n)).checkpoint()
         found = found.unionByName(level)
     numbered = found.withColumn("number", F.row_number().over(W.partitionBy("site").orderBy("level", "way")) - 1)
     return numbered.filter(F.col("number") <= most).select("site", "url", "level", "number", "status", "content")

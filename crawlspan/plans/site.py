@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
 from crawlspan.operators import crawl, linkgraph, merge, nested, pagefacts, scores, sitefiles, snapshots
 from crawlspan.sources.rendered import html_sql, rendered
-from crawlspan.sources.tables import evenly, read
+from crawlspan.sources.tables import checkpoint_dir, evenly, read
 from crawlspan.streaming import logs
 
 QUERIES = {}
@@ -426,15 +426,9 @@ def next_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def scan_log_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of files through the windowed count into the sink, then read back."""
-    import os
-
-    from crawlspan.sources.tables import checkpoint_dir
-
-    base = tempfile.mkdtemp(prefix="stream-", dir=p if os.path.isdir(p := checkpoint_dir(spark).removeprefix("file://")) else None)
-    folder = f"{base}/in"
-    spark.read.parquet(f"{d}/events.parquet").write.parquet(folder)
-    stream = logs.windowed_counts(logs.read_stream(spark, folder), "ts", ["event_type"], late="3650 days")
-    query_ = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """The events as a stream of files through the windowed count into the sink, then read back. All folders are below the shared one."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{d}/events.parquet").write.parquet(f"{base}/in")
+    stream = logs.windowed_counts(logs.read_stream(spark, f"{base}/in"), "ts", ["event_type"])
+    logs.sink(stream, f"{base}/out", f"{base}/state", every=None, mode="update").awaitTermination()
+    return logs.latest(spark.read.parquet(f"{base}/out"), ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -18,11 +18,15 @@ def spread(spark: SparkSession, per_slot: int = 2) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where none is set (as in tests) a local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only where none is set and all runs on this machine (as in tests) a
+    local one; a cluster without one is an error, as its executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         named = tempfile.mkdtemp(prefix="crawlspan-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

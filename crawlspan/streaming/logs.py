@@ -21,12 +21,19 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], window: str =
     return events.withWatermark(time, late).groupBy(F.window(time, window).alias("_w"), *keys).agg(F.count("*").alias("events")).select(F.col("_w.start").alias("window_start"), *keys, "events")
 
 
-def sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = "2 seconds"):
-    """Appends a stream to Parquet in micro-batches; `every` of None takes what is there and ends. A batch is written once: its
-    folder carries its number, so that a batch repeated after a failure replaces itself."""
+def sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = "2 seconds", mode: str = "append"):
+    """Writes a stream to Parquet in micro-batches; `every` of None takes what is there and ends. A batch is written once: its
+    folder carries its number, so that a batch repeated after a failure replaces itself. With mode `update` a window is written again
+    whenever it changes; `latest` gives its last state."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key of what `sink` wrote with mode `update`."""
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
