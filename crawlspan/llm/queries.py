@@ -92,6 +92,13 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p3_found, p3_collapsed, p6_found, p6_by_reason, p8_ids, p9_found, p9_spans, p10_found, p10_texts)}
 
+_GRAMS = """
+WITH i AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[s : s + least(12, len(w)) - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 11) + 1)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, item_id, s - 1 AS a, s - 1 + n AS b FROM g JOIN p USING (n, phrase))
+"""
 _RANKED = """
 WITH v AS (
   SELECT project_id, 'load_time_ms' AS metric, load_time_ms AS v FROM pages WHERE load_time_ms IS NOT NULL
@@ -101,6 +108,10 @@ p AS (SELECT unnest([500, 900, 950, 990]) AS permille),
 f AS (SELECT project_id, metric, permille, v AS value, n FROM r, p WHERE rank = greatest(1, (n * permille + 999) // 1000))
 """
 SQL = {
+    "p9_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM hit",
+    "p9_spans": _GRAMS
+    + """, o AS (SELECT DISTINCT doc_id, a, b FROM hit), r AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+    k AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS island FROM r) SELECT doc_id, min(a) AS first, max(b) AS last FROM k GROUP BY doc_id, island""",
     "p1_percentiles": _RANKED + "SELECT project_id, metric, permille, value, n FROM f",
     "p1_from_days": _RANKED
     + """, c AS (SELECT *, greatest(0, CASE WHEN value = 0 THEN 0 ELSE length(bin(abs(value))) END - 8) AS s FROM f)
