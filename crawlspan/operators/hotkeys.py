@@ -3,9 +3,9 @@
 Exact offset chunking. The rows are range-partitioned and sorted by (field, key, value, row id), which splits a key of any
 size over as many partitions as it needs. Each partition reports how many rows of its first and its last key it holds; prefix
 sums over the partitions (one small row each) give the number of every row within its key, exactly. Rows number c*C to
-(c+1)*C-1 of a key are its chunk c; every chunk gives one state with its counts and its first and last row, and states are
-merged in order: what continues over a boundary is counted once. No task ever holds more than one partition, whatever the keys
-hold, and nothing is drawn at random.
+(c+1)*C-1 of a key are its chunk c, where C is a fixed share of all rows, so that keys are cut alike at every size; every chunk
+gives one state with its counts and its first and last row, and states are merged in order: what continues over a boundary is
+counted once. No task ever holds more than one partition, whatever the keys hold.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from crawlspan.sources.tables import spread
 
-#: Rows of a key in one chunk. A key of R rows has R / CHUNK_ROWS states and as many more as partitions it touches.
-CHUNK_ROWS = 1_000_000
+#: Chunks that all rows make up. A key of R of N rows has R / N * CHUNKS states at most and as many more as partitions it touches.
+CHUNKS = 1000
 
 EDGE = pa.schema([("run", pa.int32()), ("last", pa.bool_()), ("f", pa.int8()), ("k", pa.int64()), ("n", pa.int64())])
 STATE = pa.schema(
@@ -147,7 +147,7 @@ def _states(offsets: dict[int, tuple[int, bool, bool]], chunk: int):
     return of
 
 
-def per_key(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def per_key(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag: str, chunk_rows: int | None = None) -> DataFrame:
     """(key_field, key_value, rows, links, distinct_values, flagged): one row for each non-null value of each field.
 
     rows: rows with the key, repeats included. links: distinct (value, row id), so exact repeats count once.
@@ -165,6 +165,7 @@ def per_key(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag
     )
     ddl = lambda s: ", ".join(f"{x.name} {({'int8': 'byte', 'int32': 'int', 'int64': 'long', 'bool': 'boolean'})[str(x.type)]}" for x in s)
     edges = run.select("run", "f", "k").mapInArrow(_edges, ddl(EDGE)).collect()  # two rows for each partition
+    chunk_rows = chunk_rows or max(1, -(-run.count() // CHUNKS))
     states = run.mapInArrow(_states(_offsets([tuple(e) for e in edges]), chunk_rows), ddl(STATE))
     same = lambda *xs: F.coalesce(F.expr(" AND ".join(f"first_{x} = lag(last_{x}) OVER (PARTITION BY f, k ORDER BY start)" for x in xs)), F.lit(False))
     split = states.filter(~F.col("whole")).withColumns({"_value": same("h", "c") & (F.col("first_c") != -1), "_row": same("h", "c", "l")})
@@ -178,7 +179,7 @@ def per_key(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag
     return out.select(name.alias("key_field"), F.col("k").alias("key_value"), "rows", "links", F.col("dests").alias("distinct_values"), F.col("followed").alias("flagged"))
 
 
-def hot_keys(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag: str, percent: int = 2, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def hot_keys(rows: DataFrame, fields: list[str], *, value: str, row_id: str, flag: str, percent: int = 2, chunk_rows: int | None = None) -> DataFrame:
     """(key_field, key_value) of each key that holds at least `percent` % of all rows, rows with null keys and repeats included."""
     total = rows.count()
     return per_key(rows, fields, value=value, row_id=row_id, flag=flag, chunk_rows=chunk_rows).filter(F.col("rows") * 100 >= F.lit(total) * percent).select("key_field", "key_value")
