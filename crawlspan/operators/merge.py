@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,94 @@ def latest_pages(history: DataFrame, scans: DataFrame) -> DataFrame:
 def next_month(day: Column) -> Column:
     """A month later by the calendar's count of days: the 31st of January gives the 2nd or 3rd of March."""
     return F.date_add(F.add_months(F.trunc(day, "month"), 1), F.dayofmonth(day) - 1)
+
+
+def json_merged(old: Column, new: Column) -> Column:
+    """Two JSON objects as one, in which a key of the right one wins; keys in order. What isn't a JSON object counts as an empty one."""
+    parsed = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    pairs = lambda c: F.map_entries(parsed(c))
+    kept = F.filter(pairs(old), lambda e: ~F.array_contains(F.map_keys(parsed(new)), e["key"]))
+    every = F.concat(kept, pairs(new))
+    names = F.array_sort(F.transform(every, lambda e: e["key"]))
+    # Values are variants, which have no order, so they are looked up by their sorted names.
+    quoted = lambda n: F.substring(F.to_json(F.array(n)), F.lit(2), F.length(F.to_json(F.array(n))) - 2)
+    texts = F.transform(names, lambda n: F.concat(quoted(n), F.lit(":"), F.to_json(F.get(F.filter(every, lambda e: e["key"] == n), 0)["value"])))
+    return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+
+
+def replaced(kept: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `new`, and those of `kept` whose keys `new` has nowhere: what a partial crawl writes over the rows of the sources it saw."""
+    on = [kept[k].eqNullSafe(F.col(f"_n_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return kept.join(new.select(*[F.col(k).alias(f"_n_{k}") for k in keys]).distinct(), cond, "left_anti").select(*new.columns).unionByName(new)
+
+
+def snapshots(scans: DataFrame, issues: DataFrame, pages: DataFrame, links: DataFrame, scores: DataFrame) -> DataFrame:
+    """(scan_id, project_id, critical, high, medium, low, pages, indexable, broken_links, score): the state of each scan.
+
+    Issues count for their own scan, repeats of an id once, a null severity as low, unknown ones not at all. Pages count by their scan, those of web
+    addresses only; links by the scan of their source page. A score is kept between 0 and 100, null without one.
+    """
+    kinds = ("critical", "high", "medium", "low")
+    found = issues.select("scan_id", "issue_id", F.coalesce("severity", F.lit("low")).alias("severity")).distinct().groupBy("scan_id").agg(*[F.count(F.when(F.col("severity") == k, 1)).alias(k) for k in kinds])
+    web = pages.filter(F.col("url").like("http%"))
+    counts = web.groupBy("scan_id").agg(F.count("*").alias("pages"), F.count(F.when(F.col("is_indexable"), 1)).alias("indexable"))
+    broken = links.filter("is_broken").select("link_id", "source_page_id").distinct().join(pages.select(F.col("page_id").alias("source_page_id"), "scan_id"), "source_page_id").groupBy("scan_id").agg(F.count("*").alias("broken_links"))
+    best = scores.groupBy("scan_id").agg(F.max_by("overall", "scan_score_id").alias("score"))
+    rows = scans.select("scan_id", "project_id").distinct().join(found, "scan_id", "left").join(counts, "scan_id", "left").join(broken, "scan_id", "left").join(best, "scan_id", "left")
+    return rows.select("scan_id", "project_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*kinds, "pages", "indexable", "broken_links")], F.least(F.lit(100), F.greatest(F.lit(0), F.col("score"))).alias("score"))
+
+
+def unscored(scans: DataFrame, scores: DataFrame) -> DataFrame:
+    """(project_id, scan_id): each project's latest completed scan, if it has no score yet."""
+    last = scans.groupBy("project_id").agg(F.max_by("scan_id", F.struct(F.coalesce("completed_at", "started_at"), "scan_id")).alias("scan_id"))
+    return last.join(scores.select("scan_id").distinct(), "scan_id", "left_anti").select("project_id", "scan_id")
+
+
+# What a page record has where nothing was seen.
+DEFAULTS = {"http_status": 0, "depth": 0, "title": "", "meta_description": "", "content_length": 0, "word_count": 0, "size_bytes": 0, "load_time_ms": 0, "first_byte_time_ms": 0, "is_indexable": True, "js_count": 0, "css_count": 0}
+EMPTY_LISTS = ("h1s", "h2s", "structured_data", "schema_types", "images", "internal_links", "external_links", "errors", "script_srcs", "stylesheet_hrefs")
+
+
+def defaulted(pages: DataFrame) -> DataFrame:
+    """Page records without nulls where a record has a default: stored rows as records."""
+    types = dict(pages.dtypes)
+    filled = {n: F.coalesce(F.col(n), F.lit(v).cast(types[n])) for n, v in DEFAULTS.items() if n in types}
+    filled |= {n: F.coalesce(F.col(n), F.array().cast(types[n])) for n in EMPTY_LISTS if n in types}
+    return pages.withColumns(filled) if filled else pages
+
+
+def blanked(pages: DataFrame, challenged: Column, ip: Column) -> DataFrame:
+    """Records of challenge pages without the challenge's own text: title null, words and length 0, and an error that says so, with the address blocked."""
+    said = F.concat(F.lit("Blocked by bot protection / WAF challenge page"), F.coalesce(F.concat(F.lit(" (blocked IP "), ip, F.lit(")")), F.lit("")))
+    hit = F.coalesce(challenged, F.lit(False))
+    new = {"title": F.when(~hit, F.col("title")), "word_count": F.when(hit, 0).otherwise(F.col("word_count")), "content_length": F.when(hit, 0).otherwise(F.col("content_length"))}
+    errors = F.coalesce("errors", F.array().cast("array<string>"))
+    return pages.withColumns(new | {"errors": F.when(hit, F.concat(errors, F.array(said))).otherwise(errors)})
+
+
+def better(plain: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Of records by plain request and by browser (url, status, title, words, poor) the one that counts, and the percent of words only scripts bring.
+
+    A browser's record counts if the plain one is poor and it answered with a title.
+    """
+    a, b = plain.alias("a"), rendered.alias("b")
+    usable = F.coalesce(F.col("a.poor") & F.col("b.status").between(200, 399) & (F.length("b.title") > 0), F.lit(False))
+    gap = F.when(F.col("b.words") > 0, F.floor((F.col("b.words") - F.coalesce("a.words", F.lit(0))) / F.col("b.words") * 100 + 0.5)).otherwise(0).cast("int")
+    pick = lambda c: F.when(usable, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+    return a.join(b, F.col("a.url") == F.col("b.url"), "left").select("a.url", F.when(usable, "headless").otherwise("http").alias("scan_method"), pick("status"), pick("title"), pick("words"), F.when(usable & (gap > 20), gap).alias("script_gap"))
+
+
+def write_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes `new` over the rows of the Parquet table at `path` that have its keys. The table's next version is written beside it and then takes
+    its place in one rename, so that readers and repeated writes see a whole one."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = replaced(spark.read.parquet(path), new, keys) if fs.exists(target) else new
+    rows.write.mode("overwrite").parquet(f"{path}.next")
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.next"), target)

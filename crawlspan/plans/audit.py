@@ -9,7 +9,8 @@ from crawlspan.functions import dom
 from crawlspan.functions import html as H
 from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
-from crawlspan.operators import audit, backlinks, crawl, issuerows, linkgraph, pagefacts, sitefiles
+from crawlspan.operators import audit, backlinks, crawl, issuerows, linkgraph, merge, pagefacts, sitefiles
+from crawlspan.operators.snapshots import completed
 from crawlspan.plans.site import PART, d_bare, d_host, d_normal, d_path, part
 from crawlspan.sources.rendered import html_sql, rendered
 from crawlspan.sources.tables import evenly, read
@@ -425,3 +426,49 @@ def page_issue_rows(spark: SparkSession, d: str) -> DataFrame:
     p = p.withColumns({"readability": T.readability(text), "top_keyword": F.get(F.regexp_extract_all(F.lower("meta_description"), F.lit(r"\p{L}{4,}"), F.lit(0)), 0)})
     found = dom.static_facts(p).select("page_id", "missing_labels", "tabindex_misuse", F.col("words").alias("rendered_words"))
     return issuerows.issue_rows(pagefacts.records(p.withColumn("plain_words", H.word_count(F.col("html"))).join(found, "page_id")))
+
+
+@query(
+    """WITH i AS (SELECT scan_id, count(*) FILTER (s = 'critical') AS critical, count(*) FILTER (s = 'high') AS high, count(*) FILTER (s = 'medium') AS medium, count(*) FILTER (s = 'low') AS low FROM (SELECT DISTINCT scan_id, issue_id, coalesce(severity, 'low') AS s FROM issues) GROUP BY 1),
+    p AS (SELECT scan_id, count(*) AS pages, count(*) FILTER (is_indexable) AS indexable FROM pages WHERE starts_with(url, 'http') GROUP BY 1), b AS (SELECT p.scan_id, count(*) AS broken_links FROM (SELECT DISTINCT link_id, source_page_id FROM page_links WHERE is_broken) l JOIN pages p ON l.source_page_id = p.page_id GROUP BY 1),
+    o AS (SELECT scan_id, arg_max(overall, scan_score_id) AS score FROM scan_scores GROUP BY 1)
+    SELECT s.scan_id, s.project_id, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(pages, 0) AS pages, coalesce(indexable, 0) AS indexable, coalesce(broken_links, 0) AS broken_links, CAST(least(100, greatest(0, score)) AS INT) AS score
+    FROM (SELECT DISTINCT scan_id, project_id FROM scans) s LEFT JOIN i USING (scan_id) LEFT JOIN p USING (scan_id) LEFT JOIN b USING (scan_id) LEFT JOIN o USING (scan_id)"""
+)
+def scan_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The whole snapshot of every scan."""
+    return merge.snapshots(*[read(spark, d, t) for t in ("scans", "issues", "pages", "page_links", "scan_scores")])
+
+
+@query(
+    """WITH l AS (SELECT project_id, arg_max(scan_id, struct_pack(a := coalesce(completed_at, started_at), b := scan_id)) AS scan_id FROM scans WHERE scan_type = 'seo' AND status = 'completed' GROUP BY 1)
+    SELECT project_id, scan_id FROM l WHERE scan_id NOT IN (SELECT scan_id FROM scan_scores)"""
+)
+def unscored_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The latest completed scans that wait for their score."""
+    return merge.unscored(completed(read(spark, d, "scans")), read(spark, d, "scan_scores", "scan_id"))
+
+
+@query(
+    """SELECT page_id, coalesce(http_status, 0) AS http_status, coalesce(title, '') AS title, coalesce(word_count, 0) AS word_count, coalesce(is_indexable, true) AS is_indexable, coalesce(load_time_ms, 0) AS load_time_ms, coalesce(len(h1s), 0) AS h1s, coalesce(len(structured_data), 0) AS blocks FROM pages"""
+)
+def page_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Stored rows as records."""
+    p = merge.defaulted(read(spark, d, "pages", "page_id", "http_status", "title", "word_count", "is_indexable", "load_time_ms", "h1s", "structured_data"))
+    return p.select("page_id", "http_status", "title", "word_count", "is_indexable", "load_time_ms", F.size("h1s").cast("long").alias("h1s"), F.size("structured_data").cast("long").alias("blocks"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source_page_id FROM page_links WHERE is_broken) SELECT l.link_id, l.source_page_id, CASE WHEN s.source_page_id IS NOT NULL THEN 'new' ELSE 'kept' END AS version FROM page_links l LEFT JOIN s USING (source_page_id)"""
+)
+def links_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The links of sources with a broken link written anew over the kept ones."""
+    links = read(spark, d, "page_links", "link_id", "source_page_id", "is_broken")
+    new = links.join(links.filter("is_broken").select("source_page_id").distinct(), "source_page_id", "left_semi").select("link_id", "source_page_id", F.lit("new").alias("version"))
+    return merge.replaced(links.select("link_id", "source_page_id", F.lit("kept").alias("version")), new, ["source_page_id"])
+
+
+@query("SELECT l.project_id, l.link_id, p.page_id FROM page_links l JOIN (SELECT DISTINCT project_id, url, page_id FROM pages) p ON l.project_id = p.project_id AND l.destination_url = p.url")
+def page_id_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that links name by their exact address."""
+    return linkgraph.page_ids(read(spark, d, "page_links", "project_id", "link_id", F.col("destination_url").alias("url")), read(spark, d, "pages", "project_id", "url", "page_id")).select("project_id", "link_id", "page_id")

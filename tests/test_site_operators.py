@@ -137,3 +137,22 @@ def test_frontier_reaches_the_default_depth(spark, tmp_path):
     spark.createDataFrame([(i, 0 if i == 0 else 1) for i in range(9)], "page_id long, depth int").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(i, i + 1) for i in range(8)] + [(0, 2)], "source_page_id long, destination_page_id long").write.parquet(f"{tmp_path}/page_links.parquet")
     assert {tuple(r) for r in site.crawl_frontier_deep(spark, str(tmp_path)).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
+
+
+def test_merging(spark, tmp_path):
+    get = lambda a, b: spark.range(1).select(merge.json_merged(F.lit(a).cast("string"), F.lit(b).cast("string"))).first()[0]
+    assert get('{"b": 1, "a": {"x": [1, "y"]}}', '{"b": null, "c\\"d": "e"}') == '{"a":{"x":[1,"y"]},"b":null,"c\\"d":"e"}' and get("[1]", None) == "{}" and get(None, '{"a": 1}') == '{"a":1}'
+    kept = spark.createDataFrame([(1, 10, "old"), (1, 11, "old"), (2, 20, "old"), (None, 30, "old")], "src int, l int, v string")
+    new = spark.createDataFrame([(1, 12, "new"), (None, 31, "new")], "src int, l int, v string")
+    assert {(r.l, r.v) for r in merge.replaced(kept, new, ["src"]).collect()} == {(12, "new"), (20, "old"), (31, "new")}
+    path = f"{tmp_path}/links"
+    merge.write_replacing(spark, kept, path, ["src"])
+    for _ in range(2):
+        merge.write_replacing(spark, new, path, ["src"])
+    assert {(r.l, r.v) for r in spark.read.parquet(path).collect()} == {(12, "new"), (20, "old"), (31, "new")}
+    pages = spark.createDataFrame([(1, "Just a moment", 9, 50, None), (2, "t", 9, 50, ["e"])], "page_id int, title string, word_count int, content_length int, errors array<string>")
+    got = {r.page_id: (r.title, r.word_count, r.content_length, r.errors) for r in merge.blanked(pages, F.col("page_id") == 1, F.lit("192.0.2.1")).collect()}
+    assert got == {1: (None, 0, 0, ["Blocked by bot protection / WAF challenge page (blocked IP 192.0.2.1)"]), 2: ("t", 9, 50, ["e"])}
+    plain = spark.createDataFrame([("a", 200, None, 10, True), ("b", 200, "t", 10, False), ("c", 200, None, 10, True), ("d", 200, None, 90, True)], "url string, status int, title string, words int, poor boolean")
+    seen = spark.createDataFrame([("a", 200, "A", 40), ("b", 200, "B", 40), ("c", 500, "C", 40), ("d", 301, "D", 100)], "url string, status int, title string, words int")
+    assert {r.url: (r.scan_method, r.title, r.script_gap) for r in merge.better(plain, seen).collect()} == {"a": ("headless", "A", 75), "b": ("http", "t", None), "c": ("http", None, None), "d": ("headless", "D", None)}
