@@ -1,7 +1,6 @@
 """Roll-up of page signals to a site's scores. One aggregation per site, from counts that add up over partitions.
 
-`site_scores`, `site_checks` and `page_scores` read the columns of pages alone. The functions named report_ give the whole report:
-four categories, all seven signals of machine readability, images from the pages' facts, blocked and empty crawls, and addresses.
+Four categories, seven signals of machine readability, images from the pages' facts, blocked and empty crawls, and failing addresses.
 """
 
 from __future__ import annotations
@@ -9,44 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The signals of a page, by category.
-SIGNALS = {
-    "technical": {"http_ok": "http_status >= 200 AND http_status < 300", "indexable": "is_indexable", "fast": "coalesce(load_time_ms, 0) <= 3000"},
-    "content": {"title": "trim(coalesce(title, '')) != ''", "meta_description": "trim(coalesce(meta_description, '')) != ''", "words": "word_count >= 300", "h1": "size(h1s) >= 1"},
-    "aeo": {"schema_types": "size(schema_types) > 0", "structured_data": "size(structured_data) > 0"},
-}
-
-
 def rounded(x: Column) -> Column:
     """Half up, kept between 0 and 100."""
     return F.least(F.lit(100), F.greatest(F.lit(0), F.floor(x + 0.5))).cast("int")
 
 
-def _flag(cond: str) -> Column:
-    return F.coalesce(F.expr(cond), F.lit(False)).cast("int")
-
-
-def site_scores(pages: DataFrame) -> DataFrame:
-    """(project_id, pages, technical, content, aeo, overall): means of the categories' pass rates in percent."""
-    counts = pages.groupBy("project_id").agg(F.count("*").alias("pages"), *[F.sum(_flag(c)).alias(n) for s in SIGNALS.values() for n, c in s.items()])
-    mean = {k: sum((F.col(n) for n in s), F.lit(0)) * 100.0 / (F.col("pages") * len(s)) for k, s in SIGNALS.items()}
-    overall = sum(mean.values(), F.lit(0.0)) / len(mean)
-    return counts.select("project_id", "pages", *[rounded(m).alias(k) for k, m in mean.items()], rounded(overall).alias("overall"))
-
-
-def site_checks(pages: DataFrame) -> DataFrame:
-    """(project_id, category, check, passed, total, status): every check of every site, longest first."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.lit(n).alias("check"), _flag(c).alias("ok")) for k, s in SIGNALS.items() for n, c in s.items()]))
-    found = pages.select("project_id", rows.alias("_c")).groupBy("project_id", "_c.category", "_c.check").agg(F.sum("_c.ok").alias("passed"), F.count("*").alias("total"))
-    return found.withColumn("status", F.when(F.col("passed") == F.col("total"), "pass").otherwise("fail"))
-
-
-def page_scores(pages: DataFrame) -> DataFrame:
-    """(page_id, score): the share of a page's checks that pass, in percent."""
-    checks = [c for s in SIGNALS.values() for c in s.values()]
-    return pages.select("page_id", rounded(sum((_flag(c) for c in checks), F.lit(0)) * 100.0 / len(checks)).alias("score"))
-
-
 #: Addresses kept for each failing check.
 AFFECTED = 50
 FILLED = r"[^\s\p{Z}\x{FEFF}]"

@@ -233,17 +233,6 @@ def page_issues(spark: SparkSession, d: str) -> DataFrame:
     return pagefacts.issues(pagefacts.facts(_pages(spark, d)))
 
 
-# Spark's trim takes blanks only.
-SPACES = lambda c: c.replace("trim(page_title)", "trim(page_title, ' ')").replace("trim(description)", "trim(description, ' ')").replace("trim(coalesce(page_title, ''))", "trim(coalesce(page_title, ''), ' ')").replace("trim(coalesce(description, ''))", "trim(coalesce(description, ''), ' ')")
-_FACT_RULES = [r for r in pagefacts.RULES if r[0] in ("server_error", "not_found", "missing_title", "missing_meta_description", "missing_h1", "multiple_h1", "title_too_long", "title_too_short", "meta_description_too_long", "meta_description_too_short", "missing_canonical", "noindex", "missing_open_graph", "missing_twitter_card", "missing_structured_data", "large_page_size", "slow_page", "missing_viewport_meta", "mixed_content")]
-
-
-@query(RAW + f", m AS ({META}) " + " UNION ALL ".join(f"SELECT '{t}' AS issue_type, '{s}' AS severity, count(*) AS pages FROM m WHERE {SPACES(c)} HAVING count(*) > 0" for t, s, c in _FACT_RULES))
-def issues_by_type(spark: SparkSession, d: str) -> DataFrame:
-    found = pagefacts.issues(pagefacts.facts(_pages(spark, d))).filter(F.col("issue_type").isin([r[0] for r in _FACT_RULES]))
-    return found.groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
-
-
 @query(_ISSUES + " SELECT issue_type, severity, count(*) AS pages FROM x GROUP BY 1, 2")
 def issues_by_type_all(spark: SparkSession, d: str) -> DataFrame:
     """How many pages meet each of all rules."""
@@ -307,27 +296,6 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return linkgraph.without_pages(read(spark, d, "pages").filter("http_status = 404"), read(spark, d, "page_links")).select("link_id", "source_page_id", "destination_page_id")
 
 
-_flag = lambda c: f"CAST(coalesce({c.replace('size(', 'len(')}, false) AS INT)"
-_flags = {n: _flag(c) for s in scores.SIGNALS.values() for n, c in s.items()}
-_means = {k: f"(100.0::DOUBLE * ({' + '.join(f'sum({_flags[n]})' for n in s)}) / (count(*) * {len(s)}))" for k, s in scores.SIGNALS.items()}
-_round = lambda x: f"CAST(least(100, greatest(0, floor({x} + 0.5))) AS INT)"
-
-
-@query(f"SELECT project_id, count(*) AS pages, {', '.join(f'{_round(m)} AS {k}' for k, m in _means.items())}, {_round('(' + ' + '.join(_means.values()) + ') / 3')} AS overall FROM pages GROUP BY 1")
-def site_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scores.site_scores(read(spark, d, "pages"))
-
-
-@query(" UNION ALL ".join(f"SELECT project_id, '{k}' AS category, '{n}' AS \"check\", sum({_flags[n]}) AS passed, count(*) AS total, CASE WHEN sum({_flags[n]}) = count(*) THEN 'pass' ELSE 'fail' END AS status FROM pages GROUP BY 1" for k, s in scores.SIGNALS.items() for n in s))
-def site_checks(spark: SparkSession, d: str) -> DataFrame:
-    return scores.site_checks(read(spark, d, "pages"))
-
-
-@query(f"SELECT page_id, {_round('(' + ' + '.join(_flags.values()) + f') * 100.0::DOUBLE / {len(_flags)}')} AS score FROM pages")
-def page_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scores.page_scores(read(spark, d, "pages"))
-
-
 def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Pages with the facts that scores need, and each project's latest completed scan with its blocked sign."""
     p = rendered(evenly(read(spark, d, "pages")))
@@ -337,22 +305,52 @@ def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return read(spark, d, "pages").join(found, "page_id"), scans.join(blocked, "scan_id", "left").select("project_id", "blocked")
 
 
-@query()
+_FILLED = "'[^\\s\\p{Z}\\x{FEFF}]'"
+# One row a page with each check as 0 or 1. A page of the rendering has Open Graph tags if its id is a multiple of 4, one image if it is that or odd, and no text on it
+# if it is odd.
+_SCORED = f"""WITH s AS (SELECT project_id, arg_max(scan_id, struct_pack(a := started_at, b := scan_id)) AS scan_id FROM scans WHERE scan_type = 'seo' AND status = 'completed' GROUP BY 1), b AS (SELECT scan_id, max(blocked) AS blocked FROM scan_scores GROUP BY 1),
+  crawls AS (SELECT project_id, coalesce(blocked, false) AS blocked FROM s LEFT JOIN b USING (scan_id)),
+  f AS (SELECT p.project_id, page_id, url, CAST(coalesce(http_status >= 200 AND http_status < 300, false) AS INT) AS http_ok, CAST(coalesce(is_indexable, false) AS INT) AS indexable, CAST(coalesce(load_time_ms, 0) <= 3000 AS INT) AS fast,
+    CAST(coalesce(regexp_matches(title, {_FILLED}), false) AS INT) AS title, CAST(coalesce(regexp_matches(meta_description, {_FILLED}), false) AS INT) AS meta_description, CAST(coalesce(word_count >= 300, false) AS INT) AS word_count, CAST(coalesce(len(h1s) > 0, false) AS INT) AS h1,
+    CAST(coalesce(len(schema_types) > 0, false) AS INT) AS schema_types, CAST(coalesce(len(structured_data) > 0, false) AS INT) AS structured_data, CAST(page_id % 4 = 0 AS INT) AS open_graph, CAST(page_id % 4 = 0 OR page_id % 2 = 1 AS INT) AS images, CAST(page_id % 4 = 0 AS INT) AS alts
+    FROM pages p JOIN crawls c ON p.project_id = c.project_id AND NOT c.blocked)"""
+_CHECKS = [("technical", n, n) for n in ("http_ok", "indexable", "fast")] + [("content", n, n) for n in ("title", "meta_description", "word_count", "h1")] + [("aeo", f"aeo_{n}", n) for n in ("schema_types", "structured_data", "open_graph", "meta_description", "title", "h1", "word_count")]
+_rounded = lambda x: f"CAST(least(100, greatest(0, floor({x} + 0.5))) AS INT)"
+
+
+@query(
+    _SCORED
+    + """, n AS (SELECT project_id, count(*) AS pages, (avg(http_ok) + avg(indexable) + avg(fast)) / 3 * 100 AS technical, (avg(title) + avg(meta_description) + avg(word_count) + avg(h1)) / 4 * 100 AS content, CASE WHEN sum(images) = 0 THEN 100 ELSE sum(alts) / sum(images) * 100 END AS media,
+      (avg(schema_types) + avg(structured_data) + avg(open_graph) + avg(meta_description) + avg(title) + avg(h1) + avg(word_count)) / 7 * 100 AS aeo FROM f GROUP BY 1)"""
+    + f" SELECT c.project_id, coalesce(pages, 0) AS pages, {', '.join(f'coalesce({_rounded(k)}, 0) AS {k}' for k in ('technical', 'content', 'media', 'aeo'))}, coalesce({_rounded('(technical + content + media + aeo) / 4')}, 0) AS overall, c.blocked FROM crawls c LEFT JOIN n USING (project_id)"
+)
 def report_scores(spark: SparkSession, d: str) -> DataFrame:
     """The four category scores and the overall score of every project's latest scan."""
     return scores.report_scores(*_report(spark, d))
 
 
-@query()
+@query(
+    _SCORED + ", r AS (" + " UNION ALL ".join(f"SELECT project_id, page_id, url, '{k}' AS category, '{n}' AS \"check\", {c} AS passed, 1 AS total FROM f" for k, n, c in _CHECKS) + " UNION ALL SELECT project_id, page_id, url, 'media', 'img_alt', alts, images FROM f),"
+    " g AS (SELECT project_id, category, \"check\", sum(passed) AS passed, sum(total) AS total, list(url ORDER BY page_id, url) FILTER (passed < total AND url IS NOT NULL) AS bad FROM r GROUP BY ALL)"
+    " SELECT project_id, category, \"check\", CASE WHEN total = 0 THEN 'na' WHEN passed = total THEN 'pass' ELSE 'fail' END AS status, CAST(passed AS BIGINT) AS passed, CAST(total AS BIGINT) AS total, coalesce(array_to_string(bad[1:50], ' '), '') AS affected_urls FROM g"
+)
 def report_checks(spark: SparkSession, d: str) -> DataFrame:
     """Every check behind these scores with the addresses that fail it."""
-    return scores.report_checks(*_report(spark, d))
+    return scores.report_checks(*_report(spark, d)).withColumn("affected_urls", F.array_join("affected_urls", " "))
 
 
-@query()
+_PAGE_CHECKS = [c for _, n, c in _CHECKS if not n.startswith("aeo_") or n in ("aeo_schema_types", "aeo_structured_data", "aeo_open_graph")]
+
+
+@query(
+    _SCORED
+    + f" SELECT project_id, page_id, {_rounded('(' + ' + '.join(_PAGE_CHECKS) + f' + alts)::DOUBLE / ({len(_PAGE_CHECKS)} + images) * 100')} AS score, {len(_PAGE_CHECKS)} + images AS applicable, "
+    + f"array_to_string(list_filter([{', '.join(f'CASE WHEN {c} = 0 THEN {chr(39)}{n}{chr(39)} END' for _, n, c in _CHECKS if c in _PAGE_CHECKS and (not n.startswith('aeo_') or c in ('schema_types', 'structured_data', 'open_graph')))}, CASE WHEN alts < images THEN 'img_alt' END], lambda x: x IS NOT NULL), ' ') AS failed FROM f"
+)
 def report_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Every page's score and checks."""
-    return scores.report_pages(*_report(spark, d))
+    """Every page's score, the number of checks that apply to it, and those that it fails."""
+    found = scores.report_pages(*_report(spark, d))
+    return found.select("project_id", "page_id", "score", F.size("checks").alias("applicable"), F.array_join(F.transform(F.filter("checks", lambda x: x["status"] == "fail"), lambda x: x["check"]), " ").alias("failed"))
 
 
 @query(
@@ -386,15 +384,10 @@ def _crawl_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT source_page_id AS src, destination_page_id AS dst FROM page_links WHERE source_page_id IS NOT NULL AND destination_page_id IS NOT NULL),
-    b AS (SELECT page_id AS key, 0 AS depth FROM pages WHERE depth = 0 UNION SELECT dst, b.depth + 1 FROM b JOIN e ON b.key = e.src WHERE b.depth < 3) SELECT key, min(depth) AS depth FROM b GROUP BY 1"""
+    b AS (SELECT page_id AS key, 0 AS depth FROM pages WHERE depth = 0 UNION SELECT dst, b.depth + 1 FROM b JOIN e ON b.key = e.src WHERE b.depth < 5) SELECT key, min(depth) AS depth FROM b GROUP BY 1"""
 )
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.frontier(*_crawl_graph(spark, d), max_depth=3)
-
-
-@query()
-def crawl_frontier_deep(spark: SparkSession, d: str) -> DataFrame:
-    """The frontier to the operator's own depth."""
+    """What a crawl reaches from the start pages, to the default depth."""
     return crawl.frontier(*_crawl_graph(spark, d))
 
 
@@ -404,32 +397,27 @@ def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT ON (project_id, fingerprint) project_id, page_id, fingerprint, is_fixed, seen_count FROM issues WHERE issue_id % 3 <> 0 AND fingerprint IS NOT NULL ORDER BY project_id, fingerprint, page_id),
-    n AS (SELECT project_id, fingerprint, max(page_id) AS page_id FROM issues WHERE issue_id % 3 <> 1 AND fingerprint IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT page_id FROM pages),
-    j AS (SELECT k.fingerprint IS NOT NULL AS was, n.fingerprint IS NOT NULL AS now, k.is_fixed, c.page_id IS NOT NULL AS crawled FROM k FULL JOIN n ON k.project_id = n.project_id AND k.fingerprint = n.fingerprint LEFT JOIN c ON k.page_id = c.page_id)
-    SELECT CASE WHEN was AND now THEN 'persisting' WHEN now THEN 'new' WHEN crawled AND NOT coalesce(is_fixed, false) THEN 'resolved' ELSE 'untouched' END AS state, count(*) AS issues FROM j GROUP BY 1"""
+    """WITH s AS (SELECT project_id, scan_id, max(started_at) AS a, max(completed_at) AS z FROM scans WHERE scan_type = 'seo' AND status = 'completed' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY a DESC NULLS LAST, scan_id DESC) AS back FROM s),
+    last AS (SELECT project_id, scan_id, coalesce(z, a) AS t FROM r WHERE back = 1), i AS (SELECT r.project_id, back, i.* EXCLUDE (project_id) FROM issues i JOIN r USING (scan_id) WHERE fingerprint IS NOT NULL),
+    k AS (SELECT * FROM i WHERE back = 2 QUALIFY row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY updated_at DESC NULLS LAST, page_id DESC NULLS LAST, is_fixed DESC NULLS LAST, seen_count DESC NULLS LAST, created_at DESC NULLS LAST, fixed_at DESC NULLS LAST) = 1),
+    n AS (SELECT project_id, fingerprint, max(page_id) AS page_id FROM i WHERE back = 1 GROUP BY 1, 2), c AS (SELECT DISTINCT page_id FROM pages WHERE scan_id IN (SELECT scan_id FROM last)),
+    j AS (SELECT coalesce(k.project_id, n.project_id) AS project_id, coalesce(n.page_id, k.page_id) AS page_id, coalesce(k.fingerprint, n.fingerprint) AS fingerprint, k.is_fixed, k.seen_count, k.created_at, k.fixed_at,
+      CASE WHEN k.fingerprint IS NOT NULL AND n.fingerprint IS NOT NULL THEN 'persisting' WHEN n.fingerprint IS NOT NULL THEN 'new' WHEN NOT coalesce(k.is_fixed, false) AND c.page_id IS NOT NULL THEN 'resolved' ELSE 'untouched' END AS state
+      FROM k FULL JOIN n ON k.project_id = n.project_id AND k.fingerprint = n.fingerprint LEFT JOIN c ON k.page_id = c.page_id)
+    SELECT project_id, page_id, fingerprint, CASE WHEN state IN ('persisting', 'new') THEN false WHEN state = 'resolved' THEN true ELSE is_fixed END AS is_fixed, CASE state WHEN 'persisting' THEN coalesce(seen_count, 1) + 1 WHEN 'new' THEN 1 ELSE seen_count END AS seen_count,
+      coalesce(created_at, t) AS created_at, CASE WHEN state IN ('persisting', 'new') THEN NULL WHEN state = 'resolved' THEN t ELSE fixed_at END AS fixed_at, state, scan_id FROM j JOIN last USING (project_id)"""
 )
 def issue_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "issues")
-    kept = rows.filter("issue_id % 3 != 0 AND fingerprint IS NOT NULL").groupBy("project_id", "fingerprint").agg(F.min(F.struct("page_id", "is_fixed", "seen_count", "created_at", "fixed_at")).alias("r")).select("project_id", "fingerprint", "r.*")
-    found = merge.reconcile(kept, rows.filter("issue_id % 3 != 1"), read(spark, d, "pages", "page_id"), F.lit("2026-01-01").cast("timestamp_ntz"))
-    return found.groupBy("state").agg(F.count("*").alias("issues"))
-
-
-@query("SELECT page_id, any_value(url) AS url, max(http_status) AS http_status FROM (SELECT page_id, url, http_status FROM pages WHERE page_id % 3 <> 1 UNION ALL SELECT page_id, url, 999 FROM pages WHERE page_id % 3 <> 0) GROUP BY 1")
-def page_upsert(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "pages", "page_id", "url", "http_status")
-    return merge.upsert(p.filter("page_id % 3 != 1"), p.filter("page_id % 3 != 0").withColumn("http_status", F.lit(999)), ["page_id"])
-
-
-@query()
-def issue_reconcile_scans(spark: SparkSession, d: str) -> DataFrame:
     """Every issue of each project's last two completed scans with its state."""
     return merge.reconcile_last(read(spark, d, "issues"), snapshots.completed(read(spark, d, "scans")), read(spark, d, "pages", "scan_id", "page_id"))
 
 
-@query()
-def page_upsert_history(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    """WITH b AS (SELECT scan_id, max(started_at) AS a FROM scans GROUP BY 1),
+    h AS (SELECT h.* FROM page_history h LEFT JOIN b USING (scan_id) QUALIFY row_number() OVER (PARTITION BY project_id, page_id ORDER BY a DESC NULLS LAST, scan_id DESC NULLS LAST, recorded_at DESC NULLS LAST, url DESC NULLS LAST, http_status DESC NULLS LAST, word_count DESC NULLS LAST, content_hash DESC NULLS LAST) = 1)
+    SELECT scan_id, project_id, page_id, url, http_status, word_count, content_hash, scanned_at AS recorded_at FROM pages UNION ALL SELECT scan_id, project_id, page_id, url, http_status, word_count, content_hash, recorded_at FROM h WHERE (project_id, page_id) NOT IN (SELECT project_id, page_id FROM pages)"""
+)
+def page_upsert(spark: SparkSession, d: str) -> DataFrame:
     """All pages over the latest row of each page of the history."""
     kept = merge.latest_pages(read(spark, d, "page_history"), read(spark, d, "scans"))
     return merge.upsert(kept, read(spark, d, "pages").withColumn("recorded_at", F.col("scanned_at")).select(*kept.columns), ["project_id", "page_id"])

@@ -71,13 +71,6 @@ def test_links(spark):
     assert {r.link_id for r in linkgraph.without_pages(pages.filter("page_id = 2"), links).collect()} == {2, 4}
 
 
-def test_scores(spark):
-    schema = "page_id int, project_id int, http_status int, is_indexable boolean, load_time_ms int, title string, meta_description string, word_count int, h1s array<string>, schema_types array<string>, structured_data array<string>"
-    pages = spark.createDataFrame([(1, 1, 200, True, 500, "t", "d", 800, ["h"], ["A"], ["{}"]), (2, 2, 200, False, None, None, " ", None, [], None, None)], schema)
-    assert {r.project_id: (r.technical, r.content, r.aeo, r.overall) for r in scores.site_scores(pages).collect()} == {1: (100, 100, 100, 100), 2: (67, 0, 0, 22)}
-    assert {r.page_id: r.score for r in scores.page_scores(pages).collect()} == {1: 100, 2: 22}
-
-
 def test_whole_report(spark):
     """The numbers of the reference's own tests: an empty page has 67, 0, 100, 0 and 42, a full one 100."""
     schema = "page_id int, project_id int, url string, http_status int, is_indexable boolean, load_time_ms int, title string, meta_description string, word_count int, h1s array<string>, schema_types array<string>, structured_data array<string>, og_count int, image_count int, images_without_alt int"
@@ -136,7 +129,7 @@ def test_frontier_reaches_the_default_depth(spark, tmp_path):
 
     spark.createDataFrame([(i, 0 if i == 0 else 1) for i in range(9)], "page_id long, depth int").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(i, i + 1) for i in range(8)] + [(0, 2)], "source_page_id long, destination_page_id long").write.parquet(f"{tmp_path}/page_links.parquet")
-    assert {tuple(r) for r in site.crawl_frontier_deep(spark, str(tmp_path)).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
+    assert {tuple(r) for r in site.crawl_frontier(spark, str(tmp_path)).collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
 
 
 def test_merging(spark, tmp_path):
