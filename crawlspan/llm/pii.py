@@ -77,6 +77,9 @@ ADDRESSES = [
     (STREETS_WORDS, re.compile(rf"{EDGE}(?:[A-ZÄÖÜ][{L}]+(?:er|sche)?\s+)(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Laan|Plein|Kade)\s+{NUMBER}{UNIT}")),
     (STREETS_AT, re.compile(rf"{EDGE}(?:Am|An\s+de[rn]|Im|In\s+de[rn]|Zum|Zur|Auf\s+de[rmn]|Unter\s+den|Hinter\s+de[rmn]|Vor\s+de[rmn])\s+(?:[A-ZÄÖÜ][{L}]+(?:en|er|e)\s+)?[A-ZÄÖÜ][{L}]{{3,}}\s+{NUMBER}{UNIT}")),
 ]
+# Streets in Cyrillic and Greek letters: the word for street, its name, and a number.
+OTHER_LETTER, OTHER_CAP = re.compile("[\u0370-\u052f]"), "[Α-ΩΆ-ΏЀ-Я][α-ωά-ώа-џ]+"
+OTHER_STREET = re.compile(rf"(?<!\w)(?:улица|ул\.|проспект|пр-т|переулок|пер\.|бульвар|площадь|οδός|οδ\.|λεωφόρος)\s+{OTHER_CAP}(?:\s+{OTHER_CAP})?\s*,?\s*(?:д\.\s*|дом\s+|αρ\.\s*)?\d{{1,4}}[а-гα-δ]?(?:\s*,?\s*кв\.\s*\d{{1,4}})?(?!\w)", re.I)
 # The last form is a street only where something says so.
 ADDRESS_SAID = re.compile(r"(?:address|adresse|anschrift|dirección|adres|lieferung an|visit us at|went to|live at|moved to|pick-up|ship to|deliver(?:ed)? to|wohne|besuchen sie uns|abholung)\s*:?\s*$", re.I)
 POSTCODE = re.compile(r"\s*,\s*(?:\d{4,5}|[A-Z]{1,2}\d)|\s+(?:in\s+[A-Z]|\([A-Z])")
@@ -145,6 +148,8 @@ INTRODUCED = re.compile(
     r"\b(?:came|come|complaint|message|letter|call|review)\s+from|\bcontact\s+person|\bansprechpartner(?:in)?|\b(?:dear\s+)?(?:mr|ms|mrs|miss|mx|dr|prof|herr|frau|hr|fr|mme|mlle|madame|monsieur|sr|sra|señora?|mevr|dhr|mevrouw|meneer)\b\.?|\bregards,?|\bthanks,?|\bgrüße[n]?,?|\bcordialement,?|\bsaludos,?)\s*:?\s*$",
     re.I,
 )
+# Words that introduce a person in Cyrillic and Greek letters.
+OTHER_SAID = re.compile(rf"(?<!\w)(?:[Мм]еня\s+зовут|[Аа]втор|[Гг]-н|[Гг]-жа|[Гг]осподин|[Гг]оспожа|[Мм]ε\s+λένε|[Κκ]\.|[Κκ]υρία|[Κκ]ύριος)\s*:?\s+(?P<n>{OTHER_CAP}(?:-{OTHER_CAP})?(?:\s+{OTHER_CAP}(?:-{OTHER_CAP})?){{1,2}})(?!\w)")
 AS_SAID, AFTER_AS = re.compile(r"\b(?:as|wie|comme|como|zoals)\s+$", re.I), re.compile(r"\s+(?:told|said|says|wrote|noted|explained|sagte|dit|dijo|zei)\b")
 FOLLOWED = re.compile(r"\s+(?:wrote\s+(?:this|that|the|a|to|us)|told\s+us|checked\s+the|and\s+I\s+run|\(customer\s+since|schrieb|a\s+écrit|escribió|schreef)\b")
 NO_PERSON = re.compile(r"\s+(?:&\s|(?:Tools|Garden|Gardens|Press|GmbH|Ltd|Inc|LLC|AG|KG|BV|SARL|S\.L\.|Street|Road|Lane|Avenue|Square|Studio|Market|Academy|Cycles|Journal|Home|Clinic|Outfitters|Supply|Goods|Group|Bros|Sons)\b)")
@@ -203,6 +208,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
     if not DIGIT.search(text):
         return
+    if OTHER_LETTER.search(text):
+        yield from (m.span() for m in OTHER_STREET.finditer(text) if any(c.isupper() for c in m.group()))
     for i, (words, p) in enumerate(ADDRESSES):
         if not any(w in text for w in words):
             continue
@@ -239,6 +246,8 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _persons(text: str, names: Names) -> Iterator[tuple[int, int]]:
+    if OTHER_LETTER.search(text):
+        yield from (m.span("n") for m in OTHER_SAID.finditer(text))
     at = 0
     while found := CANDIDATE.search(text, at):
         start = found.start()

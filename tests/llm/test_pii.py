@@ -17,6 +17,7 @@ CASES = [
     ("Visit us at 35 Hollnick Lane #38, 00945 Town or 271 bis avenue des Orfraies, and Eulenweg 45a or Calle Almendrillo nº 201", [("address", x) for x in ("35 Hollnick Lane #38", "271 bis avenue des Orfraies", "Eulenweg 45a", "Calle Almendrillo nº 201")]),
     ("Article 5 Street Lamps. Calle Mayor style lamps are back in size 15. Along Larkmoor Road for 12 miles.", []),
     ("Written by Ilka Wexacott. cc Caldwin van Helacott Pages; Dear Ms Velacott, Tobrin, As ROSE LINDSTRÖM told us", [("person_name", x) for x in ("Ilka Wexacott", "Caldwin van Helacott", "Velacott, Tobrin", "ROSE LINDSTRÖM")]),
+    ("Меня зовут Анна Новак-Ким, ул. Ленина, д. 5а. Автор текста неизвестен. κ. Ελένη Παππά", [("person_name", "Анна Новак-Ким"), ("address", "ул. Ленина, д. 5а"), ("person_name", "Ελένη Παππά")]),
     ("Regards,\nTobrin Zelacott\nWill Page open? Rose gold. Velacott Garden Press", [("person_name", "Tobrin Zelacott")]),
 ]
 
