@@ -49,12 +49,6 @@ def redirect_chains(hops: DataFrame, most: int = 10, flagged: bool = False) -> D
     return found.join(goes_on, "final", "left").select("start", "final", "hops", "loops", (F.coalesce("_on", F.lit(False)) & ~F.col("loops")).alias("cut"))
 
 
-def queue_order(links: DataFrame) -> DataFrame:
-    """Links (parent_seq, at, priority, ...) in the order a crawl takes them up: by parent, then priority, then place on the page."""
-    w = W.partitionBy("project_id").orderBy("parent_seq", F.desc("priority"), "at")
-    return links.withColumn("queue_at", F.row_number().over(w))
-
-
 def seeds(start: DataFrame, custom: DataFrame, listed: DataFrame, max_depth: int = 5) -> DataFrame:
     """(project_id, url, depth): where a crawl begins: the start (0), custom addresses (1), sitemap entries at the depth of their path, as far as allowed.
 

@@ -1,7 +1,7 @@
 """Joins and aggregations over pages and links: duplicates, resolution, degrees, orphans, removed pages.
 
 Group keys may be hot: results per member are joined back from an aggregate (which has map-side partial aggregation) and never
-collected; adaptive execution splits a hot key's rows in that join.
+collected; in that join the rows of hot keys stay where they lie (`skew`).
 """
 
 from __future__ import annotations
@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crawlspan.operators import skew
+
 
 def repeated_values(pages: DataFrame, value: Column, issue: str) -> DataFrame:
     """(project_id, page_id, issue_type, others): pages of a project that share a non-null value with others."""
-    rows = pages.select("project_id", "page_id", value.alias("_v")).filter("_v IS NOT NULL")
-    sizes = rows.groupBy("project_id", "_v").agg(F.count("*").alias("_n")).filter("_n > 1")
-    return rows.join(sizes, ["project_id", "_v"]).select("project_id", "page_id", F.lit(issue).alias("issue_type"), (F.col("_n") - 1).alias("others"))
+    rows = pages.select("project_id", "page_id", value.alias("_v")).filter("_v IS NOT NULL AND project_id IS NOT NULL")
+    sizes = rows.groupBy("project_id", "_v").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("others", F.col("_n") - 1)
+    met = skew.joined(rows, sizes, ["project_id", "_v"], count="_n", total=rows.count())
+    return met.select("project_id", "page_id", F.lit(issue).alias("issue_type"), "others")
 
 
 def filled(text: str) -> Column:
@@ -50,7 +53,7 @@ def degrees(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, inlinks, unique_inlinks, outlinks, unique_outlinks) of every page, repeats of a link counted once."""
     once = links.select("link_id", "source_page_id", "destination_page_id", "destination_url").dropDuplicates(["link_id"])
     out = once.groupBy(F.col("source_page_id").alias("page_id")).agg(F.count("*").alias("outlinks"), F.countDistinct("destination_url").alias("unique_outlinks"))
-    into = once.groupBy(F.col("destination_page_id").alias("page_id")).agg(F.count("*").alias("inlinks"), F.countDistinct("source_page_id").alias("unique_inlinks"))
+    into = once.filter("destination_page_id IS NOT NULL").groupBy(F.col("destination_page_id").alias("page_id")).agg(F.count("*").alias("inlinks"), F.countDistinct("source_page_id").alias("unique_inlinks"))
     rows = pages.select("page_id").join(into, "page_id", "left").join(out, "page_id", "left")
     return rows.select("page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inlinks", "unique_inlinks", "outlinks", "unique_outlinks")])
 
