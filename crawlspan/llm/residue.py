@@ -45,6 +45,9 @@ PLACEHOLDERS = (
     r"\[(location|town|place|region|country|brand|company|business|keyword|category|author|service)([ _-]name)?\]", r"(?<![\w$])\$\p{L}[\p{L}_.]{2,}(?![\w$])", r"<(?!/|(?:html|head|title|meta|link|body|main|nav|header|footer|section|article|aside|br|hr|em|strong|span|div|sup|sub|small|big|mark|code|pre|font|img|iframe|script|style|form|input|button|table|tr|td|th|ul|ol|li|h[1-6])\b)[\p{L}_.-]{2,}>",
 )
 
+# What every one of these forms has.
+SIGNS = r"[{<\[%#@$]|__|:\p{L}+_"
+
 # Values that were never rendered.
 UNRENDERED = ("undefined", "null", "nan", "none", "nil", "n a")
 
@@ -159,7 +162,7 @@ def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, sta
     )
     rows = rows.filter(F.col("core").rlike(r"[\p{L}\p{N}]|%s")).withColumn("terms", words_of(F.col("core")))
     marks = "(" + "|".join(PLACEHOLDERS) + ")"
-    marked = F.col("core").rlike(marks)
+    marked = F.col("core").rlike(SIGNS) & F.col("core").rlike(marks)
     bits = F.split("terms", " ")
     many = F.size(bits)
     bare = F.regexp_replace("terms", "[’]", "'")
@@ -168,7 +171,9 @@ def examined(pages: DataFrame, *, id: str, title: str, url: str, words: str, sta
     quoted = f'(?:{QUOTES}\\s*\\x01\\s*{QUOTES}|{DOUBLE}[^"“”«»„`]{{0,30}}\\x01[^"“”«»„`]{{0,30}}{DOUBLE})'
     spoken = f"{SPEAKS}{QUOTES}?\\x01"
     about = noted.rlike(TOPICS) | ((F.coalesce("_words", F.lit(THIN)) >= THIN) & noted.rlike(f"^(?=.*{quoted})(?=.*(?:{NEAR}|{ASKS}))|^(?=.*{spoken})(?=.*{NEAR})"))
-    held = F.col("core").rlike(SLOT) | F.col("_raw").rlike(VALUE)
+    low = F.lower("_raw")
+    held = (F.contains("core", F.lit("undefined")) | F.contains("core", F.lit("null"))) & F.col("core").rlike(SLOT)
+    held = held | ((F.contains(low, F.lit("undefined")) | F.contains(low, F.lit("null")) | F.contains(low, F.lit("nan"))) & F.col("_raw").rlike(VALUE))
     unrendered = F.col("terms").isin(*UNRENDERED) | ((many <= 3) & F.arrays_overlap(bits, F.array(*[F.lit(x) for x in ("undefined", "null", "nan")])))
     reason = (
         F.when((marked | held) & ~about, F.when(marked, "placeholder").otherwise("unrendered")).when(unrendered, "unrendered").when(bare.rlike(whole(FILLER)), "filler")
