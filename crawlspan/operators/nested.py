@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRIPLE = "source string, row_id long, node string, parent string, `table` string, key string, ordinal int, kind string, value string"
 OBJECT = "source string, row_id long, node string, parent string, table_path string, family string, `values` map<string, struct<kind: string, value: string>>"
 #: Keys that a table's pivot may have as columns; more are refused, as they then are data and not names.
 KEYS_MOST = 5_000
-#: Triples in one batch that goes back to the JVM.
+#: Triples whose objects make one batch that goes back to the JVM.
 BATCH = 20_000
 
 TOKEN = re.compile(
@@ -123,35 +122,6 @@ def triples(text: str, root: str = "$") -> list[tuple] | None:
             tables.append(key)
 
 
-def _parse(names: list[str]):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"row_id": pa.int64(), "ordinal": pa.int32()}
-        held: list[tuple] = []
-
-        def write() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[i], types.get(n, pa.string())) for i, n in enumerate(names)], names=names)
-
-        for b in batches:
-            for source, row_id, root, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                found = triples(text, root)
-                if found:
-                    held.extend((source, row_id, *t) for t in found)
-                if len(held) >= BATCH:
-                    yield write()
-                    held.clear()
-        if held:
-            yield write()
-
-    return of
-
-
-def json_triples(texts: DataFrame) -> DataFrame:
-    """Every object and scalar of (source, row_id, root, text). Null texts and texts that aren't JSON as a whole give nothing."""
-    rows = texts.select("source", F.col("row_id").cast("long").alias("row_id"), "root", "text").filter("text IS NOT NULL")
-    return rows.mapInArrow(_parse(["source", "row_id", "node", "parent", "table", "key", "ordinal", "kind", "value"]), TRIPLE)
-
-
 def _pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's triples, grouped by the object that they belong to and pivoted to a map of its keys."""
     kept = pa.struct([("kind", pa.string()), ("value", pa.string())])

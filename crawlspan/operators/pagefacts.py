@@ -92,20 +92,3 @@ def issues(found: DataFrame) -> DataFrame:
     hits = F.array(*[F.when(F.expr(f"coalesce({cond}, false)"), F.struct(F.lit(t).alias("issue_type"), F.lit(s).alias("severity"))) for t, s, cond in RULES])
     # An outer explode: for an inner one the optimizer adds a filter that computes all facts a second time.
     return found.select("project_id", "page_id", F.explode_outer(F.filter(hits, lambda x: x.isNotNull())).alias("_i")).filter("_i IS NOT NULL").select("project_id", "page_id", "_i.issue_type", "_i.severity")
-
-
-def json_ld_problems(triples: DataFrame) -> DataFrame:
-    """(source, row_id, node, problem): required properties that typed JSON-LD objects lack, from the triples of the blocks.
-
-    Works on every depth: a node's own keys are its scalars' and its children's. Objects that only refer (`@id`) are left out.
-    """
-    # The properties that each type must have; one of those joined by a bar is enough.
-    needed = {"Organization": ["name", "url"], "Article": ["headline", "datePublished", "author", "image"], "BlogPosting": ["headline", "datePublished", "author", "image"], "NewsArticle": ["headline", "datePublished", "author", "image"],
-              "Product": ["name", "offers|price", "image"], "BreadcrumbList": ["itemListElement"], "FAQPage": ["mainEntity"], "WebSite": ["name"], "LocalBusiness": ["name", "url"]}
-    first = F.regexp_extract("key", r"^([^|]*)", 1)
-    own = triples.filter("kind != 'object'").select("source", "row_id", "node", first.alias("k"), F.when(first == "@type", F.col("value")).alias("type"))
-    inner = triples.filter("kind = 'object' AND parent != ''").select("source", "row_id", F.col("parent").alias("node"), F.regexp_extract(F.expr("substring(node, length(parent) + 2)"), r"^([^|]*)", 1).alias("k"), F.lit(None).cast("string").alias("type"))
-    nodes = own.unionByName(inner).groupBy("source", "row_id", "node").agg(F.collect_set("k").alias("keys"), F.collect_set("type").alias("types"))
-    rules = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, ks in needed.items() for k in ks])
-    lacks = F.filter(rules, lambda r: F.array_contains(F.col("types"), r["t"]) & ~F.arrays_overlap(F.col("keys"), F.split(r["k"], r"\|")))
-    return nodes.select("source", "row_id", "node", F.explode(F.transform(lacks, lambda r: F.concat(r["t"], F.lit(": "), r["k"]))).alias("problem"))

@@ -11,6 +11,7 @@ from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
 from crawlspan.operators import audit, backlinks, crawl, issuerows, linkgraph, merge, pagefacts, sitefiles
 from crawlspan.operators.snapshots import completed
+from crawlspan.plans.problems import WALK
 from crawlspan.plans.site import PART, d_bare, d_host, d_normal, d_path, part
 from crawlspan.sources.rendered import html_sql, rendered
 from crawlspan.sources.tables import evenly, read
@@ -217,7 +218,10 @@ def backlinks_found(spark: SparkSession, d: str) -> DataFrame:
     return backlinks.find(_external(spark, d), read(spark, d, "projects", "project_id", "url"), read(spark, d, "pages", "project_id", "page_id", "url"))
 
 
-@query()
+@query(
+    f"""WITH f AS ({SQL['backlinks_found']}), n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY project_id, source_url ORDER BY page_id NULLS LAST, anchor_text NULLS LAST, is_followed DESC) = 1), c AS (SELECT project_id, source_url, min(created_at) AS c FROM backlinks GROUP BY 1, 2)
+    SELECT n.project_id, n.source_url, page_id, anchor_text, is_followed, coalesce(c, TIMESTAMP '2026-01-01') AS created_at, TIMESTAMP '2026-01-01' AS last_seen_at FROM n LEFT JOIN c ON n.project_id = c.project_id AND n.source_url = c.source_url"""
+)
 def backlinks_kept(spark: SparkSession, d: str) -> DataFrame:
     """The backlinks of every project after the search."""
     kept = read(spark, d, "backlinks").select("project_id", "source_url", "page_id", "anchor_text", "is_followed", "created_at", "last_seen_at")
@@ -248,7 +252,11 @@ def crawl_queue(spark: SparkSession, d: str) -> DataFrame:
     return crawl.enqueued(links.select("project_id", F.col("source_page_id").alias("parent_seq"), "depth", F.col("link_id").alias("at"), F.col("destination_url").alias("href"), "page_url"), p)
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT project_id, {d_normal('url')} AS url, 0 AS depth FROM projects UNION ALL
+      SELECT project_id, {d_normal('url')}, len(list_filter(string_split({part('url', 3)}, '/'), lambda s: s <> '')) FROM (SELECT DISTINCT project_id, url FROM page_history))
+    SELECT project_id, url, CAST(min(depth) AS INT) AS depth FROM a WHERE url IS NOT NULL AND depth <= 5 AND (depth = 0 OR NOT {_SHUT}) GROUP BY 1, 2"""
+)
 def crawl_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Where the crawl of every project begins: its address, and the pages of its history as sitemap entries."""
     start, listed = read(spark, d, "projects", "project_id", "url"), read(spark, d, "page_history", "project_id", "url").distinct()
@@ -472,3 +480,34 @@ def links_replaced(spark: SparkSession, d: str) -> DataFrame:
 def page_id_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The pages that links name by their exact address."""
     return linkgraph.page_ids(read(spark, d, "page_links", "project_id", "link_id", F.col("destination_url").alias("url")), read(spark, d, "pages", "project_id", "url", "page_id")).select("project_id", "link_id", "page_id")
+
+
+_TRUE = "(p.type IN ('OBJECT', 'ARRAY') OR (p.type = 'VARCHAR' AND p.v <> '') OR (p.type = 'BOOLEAN' AND p.v = 'true') OR (p.type NOT IN ('OBJECT', 'ARRAY', 'VARCHAR', 'BOOLEAN', 'NULL') AND CAST(p.v AS DOUBLE) <> 0))"
+_lacks = lambda name, *keys: f"NOT EXISTS (SELECT 1 FROM props p WHERE p.row_id = t.row_id AND p.node = t.node AND p.kp IN ({', '.join(repr(k) for k in keys)}) AND {_TRUE})"
+_empty = lambda key: f"NOT EXISTS (SELECT 1 FROM walk w WHERE w.source = 'structured_data' AND w.row_id = t.row_id AND w.owner = t.node AND w.kp = '{key}|0')"
+_has = lambda n: f"list_contains(types, '{n}')"
+_NEEDS = (
+    [(f"CASE WHEN {_has('LocalBusiness')} THEN 'LocalBusiness' ELSE 'Organization' END", f"({_has('Organization')} OR {_has('LocalBusiness')})", k) for k in ("name", "url")]
+    + [(f"CASE WHEN {_has('NewsArticle')} THEN 'NewsArticle' WHEN {_has('BlogPosting')} THEN 'BlogPosting' ELSE 'Article' END", f"({_has('Article')} OR {_has('BlogPosting')} OR {_has('NewsArticle')})", k) for k in ("headline", "datePublished", "author", "image")]
+    + [("'Product'", _has("Product"), k) for k in ("name", "image")] + [("'WebSite'", _has("WebSite"), "name")]
+)
+
+
+@query(
+    WALK
+    + """, nodes AS (SELECT DISTINCT row_id, node FROM walk WHERE source = 'structured_data' AND type = 'OBJECT' AND regexp_matches(tab, '^[$]([|][*]|[|]@graph([|][*])+)*$')),
+    props AS (SELECT row_id, owner AS node, kp, type, atom ->> '$' AS v FROM walk WHERE source = 'structured_data' AND owner <> '' AND NOT contains(kp, '|')),
+    own AS (SELECT n.row_id, n.node, coalesce(list(DISTINCT kp) FILTER (kp IS NOT NULL AND kp <> '@context'), []) AS keys, bool_or(kp = '@graph' AND type = 'ARRAY') AS graph FROM nodes n LEFT JOIN props p ON n.row_id = p.row_id AND n.node = p.node GROUP BY ALL),
+    kinds AS (SELECT row_id, owner AS node, list(atom ->> '$') AS types FROM walk WHERE source = 'structured_data' AND type = 'VARCHAR' AND regexp_matches(kp, '^@type([|][0-9]+)?$') GROUP BY 1, 2),
+    t AS (SELECT o.row_id, o.node, coalesce(types, []) AS types FROM own o LEFT JOIN kinds k ON o.row_id = k.row_id AND o.node = k.node WHERE NOT (coalesce(graph, false) AND keys = ['@graph']) AND keys <> ['@id']), x AS ("""
+    + " UNION ALL ".join(
+        ["SELECT row_id, 'Missing @type property' AS problem FROM t WHERE len(types) = 0", f"SELECT row_id, 'Product: missing \"offers\" or \"price\"' FROM t WHERE {_has('Product')} AND {_lacks('Product', 'offers', 'price')}"]
+        + [f"SELECT row_id, {name} || ': missing \"{k}\"' FROM t WHERE {cond} AND {_lacks(name, k)}" for name, cond, k in _NEEDS]
+        + [f"SELECT row_id, '{n}: missing or empty {k}' FROM t WHERE {_has(n)} AND {_empty(k)}" for n, k in (("BreadcrumbList", "itemListElement"), ("FAQPage", "mainEntity"))]
+    )
+    + ") SELECT row_id AS page_id, problem, count(*) AS nodes FROM x GROUP BY 1, 2"
+)
+def json_ld_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON-LD nodes of every page lack, and on how many nodes."""
+    p = evenly(read(spark, d, "pages", "page_id", "structured_data")).filter(F.size("structured_data") > 0)
+    return p.select("page_id", F.explode(issuerows.ld_problems(F.col("structured_data"))).alias("problem")).groupBy("page_id", "problem").agg(F.count("*").alias("nodes"))

@@ -127,7 +127,7 @@ found AS (
   FROM refs LEFT JOIN pages p ON refs.key = p.page_id
   WHERE key IS NOT NULL AND (p.page_id IS NULL OR p.created_at > seen))
 """
-_P7 = """
+WALK = """
 WITH RECURSIVE texts AS (
   SELECT DISTINCT 'structured_data' AS source, page_id AS row_id, '$|' || (generate_subscripts(structured_data, 1) - 1) AS base, unnest(structured_data) AS x FROM pages
   UNION ALL SELECT DISTINCT 'report', scan_score_id, '$', report FROM scan_scores),
@@ -142,14 +142,14 @@ objects AS (SELECT DISTINCT source, row_id, node, owner AS parent, tab FROM walk
 vals AS (SELECT source, row_id, owner AS node, kp, regexp_replace(kp, '([|][0-9]+)+$', '') AS k, atom ->> '$' AS v, id FROM walk WHERE type NOT IN ('OBJECT', 'ARRAY') AND owner <> '')
 """
 SQL = {
-    "p7_found": _P7 + "SELECT source, row_id, node, parent FROM objects",
-    "p7_tables": _P7
+    "p7_found": WALK + "SELECT source, row_id, node, parent FROM objects",
+    "p7_tables": WALK
     + """SELECT o.source, o.tab AS table_path, count(DISTINCT (o.row_id, o.node)) AS objects, count(DISTINCT o.row_id) AS records, count(DISTINCT kp) AS keys
     FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node GROUP BY ALL""",
-    "p7_offers": _P7
+    "p7_offers": WALK
     + """SELECT o.source, o.row_id, o.node, o.parent, max(v) FILTER (k = '@type') AS "@type", max(v) FILTER (k = 'price') AS price, max(v) FILTER (k = 'priceCurrency') AS "priceCurrency"
     FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node WHERE o.source = 'structured_data' AND replace(tab, '|*', '') = '$|offers' GROUP BY ALL""",
-    "p7_checks": _P7
+    "p7_checks": WALK
     + """SELECT o.source, o.row_id, o.node, o.parent, array_to_string(list(v ORDER BY v.id) FILTER (k = 'affectedUrls'), ' ') AS "affectedUrls", max(v) FILTER (k = 'id') AS id, max(v) FILTER (k = 'label') AS label,
       max(v) FILTER (k = 'passed') AS passed, max(v) FILTER (k = 'status') AS status, max(v) FILTER (k = 'total') AS total
     FROM objects o LEFT JOIN vals v ON o.source = v.source AND o.row_id = v.row_id AND o.node = v.node WHERE o.source = 'report' AND regexp_matches(replace(tab, '|*', ''), '^[$][|]categories[|][^|]+[|]checks$') GROUP BY ALL""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlspan.functions import html as H
 from crawlspan.functions import text as T
 from crawlspan.functions import urls as U
-from crawlspan.operators import crawl, linkgraph, merge, nested, pagefacts, scores, sitefiles, snapshots
+from crawlspan.operators import crawl, linkgraph, merge, pagefacts, scores, sitefiles, snapshots
 from crawlspan.sources.rendered import html_sql, rendered
 from crawlspan.sources.tables import checkpoint_dir, evenly, read
 from crawlspan.streaming import logs
@@ -239,12 +239,6 @@ def issues_by_type_all(spark: SparkSession, d: str) -> DataFrame:
     return pagefacts.issues(pagefacts.facts(_pages(spark, d))).groupBy("issue_type", "severity").agg(F.count("*").alias("pages"))
 
 
-@query()
-def json_ld_problems(spark: SparkSession, d: str) -> DataFrame:
-    texts = nested.page_texts(read(spark, d, "pages"), read(spark, d, "scan_scores")).filter("source = 'structured_data'")
-    return pagefacts.json_ld_problems(nested.json_triples(texts))
-
-
 _repeats = lambda v, name, more="": f"SELECT project_id, page_id, '{name}' AS issue_type, n - 1 AS others FROM (SELECT project_id, page_id, {v} AS v, count(*) OVER (PARTITION BY project_id, {v}) AS n FROM pages WHERE {v} IS NOT NULL {more}) WHERE n > 1"
 
 
